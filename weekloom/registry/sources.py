@@ -76,7 +76,7 @@ def json_param_series(v):
     # One payload per district and week holds at most seven days.
     series = lambda c: F.map_from_entries(F.collect_list(F.struct(F.date_format("d", "yyyyMMdd"), c)))
     weeks = v.climate_daily.groupBy("district", week_start("d").alias("w")).agg(*[series(c).alias(c) for c in CLIMATE])
-    entry = lambda c: F.struct(F.lit(c), F.col(c))
+    entry = lambda c: F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))
     every = F.array(*[entry(c) for c in CLIMATE])
     no_humidity = F.array(*[entry(c) for c in CLIMATE if c != "RH2M"])
     parameter = F.map_from_entries(F.when(F.weekofyear("w") % 2 == 1, every).otherwise(no_humidity))
@@ -125,7 +125,7 @@ def json_current(v):
 
 
 _PLACES = ", ".join(
-    f"('{s}', '{n}', {lat}, {lon}, {i})"
+    f"('{s}', '{n}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE), {i})"
     for s, d in (("daily", DAILY_SOURCE_COORDINATES), ("readings", READING_SOURCE_COORDINATES))
     for i, (n, (lat, lon)) in enumerate(sorted(d.items()))
 )

@@ -21,7 +21,7 @@ def build_session(app: str = "weekloom", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()

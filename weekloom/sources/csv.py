@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekloom.constants import CLIMATE_VARIABLES
+from weekloom.runtime import durable
 
 DAILY_CLIMATE = T.StructType(
     [T.StructField("district", T.StringType()), T.StructField("d", T.DateType())]
@@ -60,8 +61,11 @@ def scan_report_files(spark: SparkSession, path: str | list[str], schema: T.Stru
 
 
 def tolerant_scan(spark: SparkSession, path: str, schema: str, keep: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined lines): malformed lines do not stop the scan."""
-    rows = (
+    """(good rows, quarantined lines): malformed lines do not stop the scan.
+
+    The parsed rows are kept once, so both outputs come from a single parse.
+    """
+    rows = durable(
         spark.read.schema(f"{schema}, {keep} string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", keep)
