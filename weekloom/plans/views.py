@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weekloom.constants import DISEASES, WEEKLY_CLIMATE
 from weekloom.operators import features, weekly
 from weekloom.operators.rank import order_codes
-from weekloom.runtime import small_side
+from weekloom.runtime import small_side, stored
 
 PRIORITY_DISEASE = {
     "1-URGENT": "leptospirosis", "2-HIGH": "typhus", "3-MEDIUM": "hepatitis_a", "5-LOW": "chickenpox",
@@ -137,6 +137,23 @@ class PanelViews:
             F.col("district_week_mean").alias("b"),
         )
 
+    @cached_property
+    def kept_series(self) -> DataFrame:
+        """``series`` written once, for operators that make several passes."""
+        return stored(self.series, "series")
+
+    @cached_property
+    def kept_panel(self) -> DataFrame:
+        return stored(self.panel, "panel")
+
+    @cached_property
+    def kept_features(self) -> DataFrame:
+        return stored(self.features, "features")
+
+    @cached_property
+    def kept_forecasts(self) -> DataFrame:
+        return stored(self.forecasts, "forecasts")
+
     @cached_property
     def readings(self) -> DataFrame:
         """Sub-daily readings per district, one row per event."""

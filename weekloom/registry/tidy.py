@@ -101,9 +101,9 @@ def select_features(v):
 _HUMID_LAGS = [f"RH2M_avg_lag_{k}" for k in range(1, 7)]
 
 
-@query("select_by_pattern", view("features", f"SELECT {out(KEY, _HUMID_LAGS)} FROM features WHERE disease = 'typhus'"))
+@query("select_by_pattern", view("features", f"SELECT {out(KEY, _HUMID_LAGS)} FROM features"))
 def select_by_pattern(v):
-    df = climate_lags(v.panel.filter("disease = 'typhus'"))
+    df = climate_lags(v.panel)
     return show(df, KEY, tidy.columns_matching(df, ["RH2M"], lagged=True))
 
 

@@ -63,3 +63,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = durable(df)
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back: for inputs that several passes need."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
