@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.numbers import clip, ratio
 from weekloom.operators.profile import bin_index, melt
-from weekloom.operators.rank import ordered_prefix, quantile_scalar
+from weekloom.operators.rank import exact_quantiles, ordered_prefix, quantile_scalar
 
 
 def shift_report(df: DataFrame, by: Sequence[str] = ("disease",), value: str = "target", severe: float = 0.3) -> DataFrame:
@@ -53,15 +53,16 @@ def _mean_one(df: DataFrame, w: str) -> DataFrame:
 def edges_scalar(df: DataFrame, value: str, count: int) -> Column:
     """``count + 1`` quantile edges as one array; edges may repeat on zero-inflated values."""
     names = {f"e{i:02d}": i / count for i in range(count + 1)}
-    q = quantile_scalar(df, value, names)
-    return F.array(*[q.getField(n) for n in names])
+    return exact_quantiles(df, [], value, names).select(F.array(*names)).scalar()
 
 
-def edge_bin(x: Column, edges: Column, count: int, widen: float = 0.0) -> Column:
-    """Number of edges at or below ``x`` minus one, inside [0, count - 1]; the top edge is widened."""
-    top = F.element_at(edges, -1) + widen
-    k = F.size(F.filter(F.slice(edges, 1, count), lambda e: e <= x)) + F.when(top <= x, 1).otherwise(0) - 1
-    return F.least(F.greatest(k, F.lit(0)), F.lit(count - 1))
+def with_edge_bin(df: DataFrame, value: str, edges: Column, count: int, widen: float = 1e-6) -> DataFrame:
+    """``_bin``: number of edges at or below the value minus one, inside [0, count - 1]; the top edge is widened."""
+    df = df.withColumn("_edges", edges)
+    x = F.col(value)
+    below = F.size(F.filter(F.slice("_edges", 1, count), lambda e: e <= x))
+    k = below + F.when(F.element_at("_edges", -1) + widen <= x, 1).otherwise(0) - 1
+    return df.withColumn("_bin", F.least(F.greatest(k, F.lit(0)), F.lit(count - 1))).drop("_edges")
 
 
 def bin_lookup(df: DataFrame, key: str = "_bin") -> Column:
@@ -86,7 +87,7 @@ def hist_reweight(df: DataFrame, value: str = "target", bins: int = 20, source:
 
 def inverse_root_weights(df: DataFrame, value: str = "target", bins: int = 10, widen: float = 1e-6) -> DataFrame:
     """1 / sqrt(count of the quantile bin), mean 1."""
-    binned = df.withColumn("_bin", edge_bin(F.col(value), edges_scalar(df, value, bins), bins, widen))
+    binned = with_edge_bin(df, value, edges_scalar(df, value, bins), bins, widen)
     counts = bin_lookup(binned.groupBy("_bin").agg(F.count("*").alias("n")))
     out = binned.withColumn("weight", F.lit(1.0) / F.sqrt(F.try_element_at(counts, F.col("_bin")).cast("double")))
     return _mean_one(out, "weight").drop("_bin")
@@ -113,7 +114,7 @@ def blend_weights_20_80(df: DataFrame, value: str = "target", share: float = 0.8
 def align_weights(df: DataFrame, value: str = "target", bins: int = 10) -> DataFrame:
     """Train weights te_share / tr_share on quantile bins of train and test together."""
     two = df.filter(F.col("split").isin("train", "test"))
-    binned = two.withColumn("_bin", edge_bin(F.col(value), edges_scalar(two, value, bins), bins, 1e-6))
+    binned = with_edge_bin(two, value, edges_scalar(two, value, bins), bins)
     of = lambda s: F.count_if(F.col("split") == s)
     counts = binned.groupBy("_bin").agg(F.greatest(of("train"), F.lit(1)).alias("t"), of("test").alias("e"))
     # Every bin counts at least one train row, bins without rows included.

@@ -91,32 +91,51 @@ def normality_jb(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         "normal", F.col("p_value") > 0.05)
 
 
-def corr_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str], chunk: int = 60) -> DataFrame:
-    """Pearson correlation of every (left, right) pair, NULLs skipped per pair, one pass per ``chunk`` pairs."""
-    pairs = [(a, b) for a in left for b in right]
-    parts = []
-    for i in range(0, len(pairs), chunk):
-        cells = F.array(*[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr"))
-            for a, b in pairs[i:i + chunk]
-        ])
-        parts.append(df.agg(cells.alias("cells")).select(F.inline("cells")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+def _pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete sums (i, j, n, sx, sy, sxx, syy, sxy) of centred columns in one pass.
+
+    A single aggregate with hundreds of ``corr`` calls outgrows generated code, so each
+    partition folds its Arrow batches into one small matrix per moment; only columns
+    squared rows per partition are shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(columns)
+    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    first = num.agg(*[F.avg(c) for c in num.columns]).first()
+    centre = np.array([0.0 if x is None else float(x) for x in first])
+    shape = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+    def fold(batches):
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = b.to_numpy(dtype=float) - centre
+            ok = ~np.isnan(x)
+            x, m = np.where(ok, x, 0.0), ok.astype(float)
+            s, q = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x])
+        i, j = np.indices((k, k))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{
+            n: total[t].ravel() for t, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+
+    sums = num.mapInPandas(fold, shape).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.withColumns({"left": names[F.col("i")], "right": names[F.col("j")]})
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Full matrix in long form: each unordered pair is computed once and mirrored."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr"))
-        for a, b in pairs
-    ])
-    half = df.agg(cells.alias("cells")).select(F.inline("cells"))
-    both = F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
-    return half.select(F.explode(F.array_distinct(both)).alias("p"), "corr").select("p.left", "p.right", "corr")
+    """Pearson correlation of every ordered pair in long form, NULLs skipped per pair."""
+    m = _pair_moments(df, columns)
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    return m.select("left", "right", ratio(cov, F.sqrt(vx * vy)).alias("corr"))
+
+
+def corr_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """Correlations between two column lists."""
+    return corr_matrix(df, [*left, *right]).filter(F.col("left").isin(*left) & F.col("right").isin(*right))
 
 
 def lag_corr(df: DataFrame, lagged: Sequence[str], targets: Sequence[str]) -> DataFrame:

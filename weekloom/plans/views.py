@@ -157,11 +157,11 @@ class PanelViews:
     @cached_property
     def readings(self) -> DataFrame:
         """Sub-daily readings per district, one row per event."""
-        v = F.col("value")
+        v = F.col("value") / 7.31
         return self.table("events").select(
             "event_id", "ts", F.concat(F.lit("D"), (F.col("user_id") % 25).cast("string")).alias("district"),
             "event_type", v.alias("T2M"), (v + 1).alias("T2M_MAX"), (v - 1).alias("T2M_MIN"),
-            (v * 3 % 101).alias("RH2M"), (v / 7).alias("PRECTOTCORR"),
+            (v * 3 % 101).alias("RH2M"), (v / 3).alias("PRECTOTCORR"),
         )
 
 

@@ -224,12 +224,14 @@ def multivariate_anomaly(v):
 
 def _hist_sql(c, bins):
     return f"""SELECT '{c}' AS variable, CAST(least(floor(({c} - lo) / (hi - lo) * {bins}), {bins - 1}) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n
-FROM panel_wide, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM panel_wide) WHERE {c} IS NOT NULL GROUP BY 1, 2"""
+FROM rw, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM rw) WHERE {c} IS NOT NULL GROUP BY 1, 2"""
 
 
-@query("histogram", view("panel_wide", " UNION ALL ".join(_hist_sql(c, 30) for c in SHORT)))
+@query("histogram", view("panel_wide", " UNION ALL ".join(_hist_sql(c, 30) for c in SHORT),
+    {"rw": "SELECT " + ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in SHORT) + " FROM panel_wide"}))
 def histogram(v):
-    return profile.equal_width_bins(v.panel_wide, SHORT, 30)
+    # Rounded so that means summed in another order fall into the same bin on both engines.
+    return profile.equal_width_bins(v.panel_wide.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in SHORT]), SHORT, 30)
 
 
 @query("box_numbers", view("panel", f"""

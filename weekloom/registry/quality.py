@@ -172,7 +172,7 @@ def _edges(source, n):
 
 
 def _bin(n):
-    return f"least(greatest(len(list_filter(e, x -> x <= target)) - 1, 0), {n - 1})"
+    return f"least(greatest(len(list_filter(e, lambda x: x <= target)) - 1, 0), {n - 1})"
 
 
 @query("decile_weights", view("series", f"""

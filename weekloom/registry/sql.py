@@ -105,8 +105,8 @@ LEFT JOIN (SELECT disease, district, week_number, avg(target) AS m FROM series W
 LEFT JOIN (SELECT disease, district, avg(target) AS m FROM series WHERE split = 'train' GROUP BY ALL) dm
   ON s.disease = dm.disease AND s.district = dm.district"""),
     "readings": ((), """
-SELECT event_id, ts, 'D' || CAST(user_id % 25 AS VARCHAR) AS district, event_type, value AS T2M, value + 1 AS T2M_MAX,
-  value - 1 AS T2M_MIN, (value * 3) % 101 AS RH2M, value / 7 AS PRECTOTCORR FROM events"""),
+SELECT event_id, ts, 'D' || CAST(user_id % 25 AS VARCHAR) AS district, event_type, v AS T2M, v + 1 AS T2M_MAX,
+  v - 1 AS T2M_MIN, (v * 3) % 101 AS RH2M, v / 3 AS PRECTOTCORR FROM (SELECT *, value / 7.31 AS v FROM events)"""),
 }
 
 
