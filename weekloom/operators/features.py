@@ -120,16 +120,17 @@ def train_statistics(
     whole = Window.partitionBy(*by)
     seasonal = Window.partitionBy(*by, season)
     y = F.when(train, F.col("target"))
-    df = df.withColumn("_late", train & (F.col(week_index) >= last - late_weeks))
-    df = df.withColumn("dist_mean", F.avg(y).over(whole))
-    df = df.withColumn("late_dist_mean", F.avg(F.when(F.col("_late"), F.col("target"))).over(whole))
+    late = train & (F.col(week_index) >= last - late_weeks)
+    df = df.withColumns(
+        {"dist_mean": F.avg(y).over(whole), "late_dist_mean": F.avg(F.when(late, F.col("target"))).over(whole)}
+    )
     df = df.withColumn("district_week_mean", F.avg(y).over(seasonal))
     return df.withColumns(
         {
             "district_week_mean": F.coalesce("district_week_mean", "dist_mean"),
             "late_dist_mean": F.coalesce("late_dist_mean", "dist_mean"),
         }
-    ).drop("_late")
+    )
 
 
 def seasonal_ratio(df: DataFrame) -> DataFrame:
@@ -153,10 +154,10 @@ def build_features(df: DataFrame, by: Sequence[str] = SERIES, order: str = "week
     ``codes`` is an optional (district, district_enc) lookup already at hand.
     """
     df = df.join(codes, "district") if codes is not None else district_code(df)
-    df = train_statistics(df, by)
     df = climate_lags(df, by, order)
     df = target_rolling(target_lags(df, TARGET_LAGS, by, order), ROLLING_WINDOWS, by, order)
-    df = target_trend(df, by, order)
+    # Ordered windows first, then whole-series ones (same sort), then the seasonal one (one more sort).
+    df = train_statistics(target_trend(df, by, order), by)
     return seasonal_ratio(climate_interactions(df))
 
 

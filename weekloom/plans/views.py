@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.constants import DISEASES, WEEKLY_CLIMATE
+from weekloom.constants import DISEASES
 from weekloom.operators import features, weekly
 from weekloom.operators.rank import order_codes
 from weekloom.runtime import small_side, stored
@@ -157,12 +157,13 @@ class PanelViews:
     @cached_property
     def readings(self) -> DataFrame:
         """Sub-daily readings per district, one row per event."""
-        v = F.col("value") / 7.31
-        return self.table("events").select(
-            "event_id", "ts", F.concat(F.lit("D"), (F.col("user_id") % 25).cast("string")).alias("district"),
-            "event_type", v.alias("T2M"), (v + 1).alias("T2M_MAX"), (v - 1).alias("T2M_MIN"),
-            (v * 3 % 101).alias("RH2M"), (v / 3).alias("PRECTOTCORR"),
-        )
+        return readings_of(self.table("events"))
 
 
-CLIMATE_COLUMNS = list(WEEKLY_CLIMATE)
+def readings_of(events: DataFrame) -> DataFrame:
+    v = F.col("value") / 7.31
+    return events.select(
+        "event_id", "ts", F.concat(F.lit("D"), (F.col("user_id") % 25).cast("string")).alias("district"),
+        "event_type", v.alias("T2M"), (v + 1).alias("T2M_MAX"), (v - 1).alias("T2M_MIN"),
+        (v * 3 % 101).alias("RH2M"), (v / 3).alias("PRECTOTCORR"),
+    )

@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from weekloom.registry import joins, profiles, quality, series, sources, tidy  # noqa: F401
+from weekloom.registry import joins, models, profiles, quality, series, sources, tidy  # noqa: F401
