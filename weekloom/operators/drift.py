@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.numbers import clip, ratio
 from weekloom.operators.profile import bin_index, melt
-from weekloom.operators.rank import exact_quantiles, ordered_prefix, quantile_scalar
+from weekloom.operators.rank import ordered_prefix, quantile_values
 
 
 def shift_report(df: DataFrame, by: Sequence[str] = ("disease",), value: str = "target", severe: float = 0.3) -> DataFrame:
@@ -45,99 +45,114 @@ def leakage_screen(df: DataFrame, features: Sequence[str], low: float = 0.2, hig
         "suspicious", (F.col("ks_train_val") > low) & (F.col("ks_val_test") < high))
 
 
-def _mean_one(df: DataFrame, w: str) -> DataFrame:
-    """Divide by the overall mean weight (a scalar aggregate)."""
-    return df.withColumn(w, F.col(w) / df.agg(F.avg(w)).scalar())
+def _cells(df: DataFrame, cells: Sequence[Column], samples: Sequence[str]) -> list[tuple]:
+    """Row counts per weight cell and split. Cells are bins, so at most bins x bins rows reach the driver."""
+    names = [f"_k{i}" for i in range(len(cells))]
+    of = [F.count_if(F.col("split") == s).alias(s) for s in samples]
+    return [tuple(r) for r in df.groupBy(*[c.alias(n) for c, n in zip(cells, names)]).agg(*of).collect()]
 
 
-def edges_scalar(df: DataFrame, value: str, count: int) -> Column:
-    """``count + 1`` quantile edges as one array; edges may repeat on zero-inflated values."""
-    names = {f"e{i:02d}": i / count for i in range(count + 1)}
-    return exact_quantiles(df, [], value, names).select(F.array(*names)).scalar()
+def _weight_of(cells: Sequence[Column], weights: dict[tuple, float]) -> Column:
+    """The weight of a row's cell from a constant map: rows are neither joined nor shuffled."""
+    key = lambda xs: "/".join(str(x) for x in xs)
+    table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (key(k), float(w))])
+    return F.try_element_at(table, F.concat_ws("/", *[c.cast("string") for c in cells]))
 
 
-def with_edge_bin(df: DataFrame, value: str, edges: Column, count: int, widen: float = 1e-6) -> DataFrame:
-    """``_bin``: number of edges at or below the value minus one, inside [0, count - 1]; the top edge is widened."""
-    df = df.withColumn("_edges", edges)
-    x = F.col(value)
-    below = F.size(F.filter(F.slice("_edges", 1, count), lambda e: e <= x))
-    k = below + F.when(F.element_at("_edges", -1) + widen <= x, 1).otherwise(0) - 1
-    return df.withColumn("_bin", F.least(F.greatest(k, F.lit(0)), F.lit(count - 1))).drop("_edges")
+def _mean_one(weights: dict[tuple, float], rows: dict[tuple, int], extra: float = 0.0) -> dict[tuple, float]:
+    """Weights divided by their mean over the rows, which the cell counts already tell."""
+    n = sum(rows.values())
+    mean = sum(weights[k] * rows[k] for k in rows) / n + extra if n else 1.0
+    return {k: w / mean for k, w in weights.items()}
+
+
+def _bounded(x: float, low: float, high: float) -> float:
+    return max(low, min(high, x))
+
+
+def quantile_edges(df: DataFrame, value: str, count: int) -> list[float]:
+    """``count + 1`` quantile edges; edges may repeat on zero-inflated values."""
+    return quantile_values(df, value, [i / count for i in range(count + 1)])
 
 
-def bin_lookup(df: DataFrame, key: str = "_bin") -> Column:
-    """A table with at most one row per bin as a map, usable as a scalar: no join, no shuffle of the rows."""
-    value = [c for c in df.columns if c != key][0]
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+def edge_bin(x: Column, edges: Sequence[float], widen: float = 1e-6) -> Column:
+    """Number of edges at or below ``x`` minus one, inside [0, bins - 1]; the top edge is widened."""
+    bins = len(edges) - 1
+    ends = F.array(*[F.lit(float(e)) for e in edges[:-1]], F.lit(float(edges[-1]) + widen))
+    k = F.size(F.filter(ends, lambda e: e <= x)) - 1
+    return F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1))
 
 
 def hist_reweight(df: DataFrame, value: str = "target", bins: int = 20, source: str = "val", goal: str = "test") -> DataFrame:
     """Weights that give the source split the goal split's histogram, inside [0.1, 10], mean 1."""
     two = df.filter(F.col("split").isin(source, goal))
-    span = two.agg(F.struct(F.min(value).alias("lo"), (F.max(value) + 1e-9).alias("hi"))).scalar()
-    binned = two.withColumn("_bin", bin_index(F.col(value), span.getField("lo"), span.getField("hi"), bins))
-    of = lambda s: F.count_if(F.col("split") == s)
-    totals = two.agg(F.struct(of(source).alias("s"), of(goal).alias("g"))).scalar()
-    share = ratio(of(goal) / totals.getField("g"), of(source) / totals.getField("s"))
-    table = binned.groupBy("_bin").agg(clip(F.coalesce(share, F.lit(1.0)), 0.1, 10.0).alias("_w"))
-    weights = bin_lookup(table)
-    out = binned.filter(F.col("split") == source).withColumn("weight", F.try_element_at(weights, F.col("_bin")))
-    return _mean_one(out, "weight").drop("_bin")
-
-
-def inverse_root_weights(df: DataFrame, value: str = "target", bins: int = 10, widen: float = 1e-6) -> DataFrame:
+    lo, hi = two.agg(F.min(value).cast("double"), F.max(value).cast("double") + 1e-9).first()
+    cell = [bin_index(F.col(value), F.lit(lo), F.lit(hi), bins)]
+    counts = _cells(two, cell, [source, goal])
+    s, g = (sum(c[i] for c in counts) for i in (1, 2))
+    raw = {(k,): _bounded((e / g) / (n / s), 0.1, 10.0) for k, n, e in counts if n}
+    weights = _mean_one(raw, {(k,): n for k, n, _ in counts if n})
+    return two.filter(F.col("split") == source).withColumn("weight", _weight_of(cell, weights))
+
+
+def inverse_root_weights(df: DataFrame, value: str = "target", bins: int = 10) -> DataFrame:
     """1 / sqrt(count of the quantile bin), mean 1."""
-    binned = with_edge_bin(df, value, edges_scalar(df, value, bins), bins, widen)
-    counts = bin_lookup(binned.groupBy("_bin").agg(F.count("*").alias("n")))
-    out = binned.withColumn("weight", F.lit(1.0) / F.sqrt(F.try_element_at(counts, F.col("_bin")).cast("double")))
-    return _mean_one(out, "weight").drop("_bin")
+    cell = [edge_bin(F.col(value), quantile_edges(df, value, bins))]
+    rows = {(r[0],): r["n"] for r in df.groupBy(cell[0].alias("k")).agg(F.count("*").alias("n")).collect()}
+    return df.withColumn("weight", _weight_of(cell, _mean_one({k: n ** -0.5 for k, n in rows.items()}, rows)))
 
 
 def blend_weights_20_80(df: DataFrame, value: str = "target", share: float = 0.8, bins: int = 20) -> DataFrame:
     """``share`` inverse-frequency weight plus the rest from the val/train histogram ratio, on the train rows."""
-    train, val = df.filter("split = 'train'"), df.filter("split = 'val'")
-    freq = inverse_root_weights(train, value, bins).withColumnRenamed("weight", "_freq")
-    span = val.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, hi = span.getField("lo"), span.getField("hi")
-    in_span = F.col(value).between(lo, hi)
-    cell = bin_index(F.col(value), lo, hi, bins)
-    hist = df.filter(F.col("split").isin("train", "val")).filter(in_span).groupBy(cell.alias("_bin"), "split").agg(F.count("*").alias("n"))
-    of = lambda s: F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0))
-    totals = hist.agg(F.struct(of("train").alias("t"), of("val").alias("v"))).scalar()
-    table = hist.groupBy("_bin").agg(ratio(of("val") / totals.getField("v"), of("train") / totals.getField("t")).alias("r"))
-    ratios = bin_lookup(table)
-    out = freq.withColumn("_dist", clip(F.coalesce(F.try_element_at(ratios, cell), F.lit(1.0)), 0.2, 5.0))
-    out = _mean_one(out, "_dist").withColumn("weight", F.lit(share) * F.col("_freq") + F.lit(1.0 - share) * F.col("_dist"))
-    return _mean_one(out, "weight").drop("_freq", "_dist")
+    train = df.filter("split = 'train'")
+    lo, hi = df.filter("split = 'val'").agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    x = F.col(value)
+    quantile_bin = edge_bin(x, quantile_edges(train, value, bins))
+    cells = [quantile_bin, bin_index(x, F.lit(lo), F.lit(hi), bins), x.between(lo, hi).cast("int")]
+    counts = _cells(df.filter(F.col("split").isin("train", "val")), cells, ["train", "val"])
+    by_quantile, hist_train, hist_val = {}, {}, {}
+    for q, h, inside, t, v in counts:
+        by_quantile[q] = by_quantile.get(q, 0) + t
+        if inside:
+            hist_train[h], hist_val[h] = hist_train.get(h, 0) + t, hist_val.get(h, 0) + v
+    nt, nv = max(sum(hist_train.values()), 1), max(sum(hist_val.values()), 1)
+    ratio_of = lambda h: (hist_val[h] / nv) / (hist_train[h] / nt) if hist_train.get(h) else 1.0
+    rows = {(q, h, i): t for q, h, i, t, _ in counts if t}
+    freq = _mean_one({k: by_quantile[k[0]] ** -0.5 for k in rows}, rows)
+    dist = _mean_one({k: _bounded(ratio_of(k[1]), 0.2, 5.0) for k in rows}, rows)
+    weights = _mean_one({k: share * freq[k] + (1.0 - share) * dist[k] for k in rows}, rows)
+    return train.withColumn("weight", _weight_of(cells, weights))
 
 
 def align_weights(df: DataFrame, value: str = "target", bins: int = 10) -> DataFrame:
     """Train weights te_share / tr_share on quantile bins of train and test together."""
     two = df.filter(F.col("split").isin("train", "test"))
-    binned = with_edge_bin(two, value, edges_scalar(two, value, bins), bins)
-    of = lambda s: F.count_if(F.col("split") == s)
-    counts = binned.groupBy("_bin").agg(F.greatest(of("train"), F.lit(1)).alias("t"), of("test").alias("e"))
+    cell = [edge_bin(F.col(value), quantile_edges(two, value, bins))]
+    counts = {k: (n, e) for k, n, e in _cells(two, cell, ["train", "test"])}
     # Every bin counts at least one train row, bins without rows included.
-    totals = counts.agg(F.struct((F.sum("t") + bins - F.count("*")).alias("t"), F.sum("e").alias("e"))).scalar()
-    table = counts.select("_bin", ((F.col("e") / totals.getField("e")) / (F.col("t") / totals.getField("t"))).alias("w"))
-    weights = bin_lookup(table)
-    out = binned.filter("split = 'train'").withColumn("weight", F.try_element_at(weights, F.col("_bin")).cast("double"))
-    return out.withColumn("weight", F.col("weight") / (out.agg(F.avg("weight")).scalar() + 1e-9)).drop("_bin")
+    floor = {k: max(counts.get(k, (0, 0))[0], 1) for k in range(bins)}
+    nt, ne = sum(floor.values()), max(sum(e for _, e in counts.values()), 1)
+    raw = {(k,): (e / ne) / (floor[k] / nt) for k, (_, e) in counts.items()}
+    weights = _mean_one(raw, {(k,): n for k, (n, _) in counts.items()}, 1e-9)
+    return two.filter("split = 'train'").withColumn("weight", _weight_of(cell, weights))
 
 
 def zero_align_weights(df: DataFrame, value: str = "target") -> DataFrame:
     """Train weights that move the share of zeros to the mean share of val and test, inside [0.3, 4], mean 1."""
-    share = lambda s: F.avg(F.when(F.col("split") == s, (F.col(value) == 0).cast("double")))
-    z = df.agg(F.struct(share("train").alias("t"), ((share("val") + share("test")) / 2).alias("g"))).scalar()
-    t, g = F.greatest(z.getField("t"), F.lit(1e-6)), F.greatest(z.getField("g"), F.lit(1e-6))
-    w = F.when(F.col(value) == 0, g / t).otherwise((F.lit(1.0) - g) / F.greatest(F.lit(1.0) - t, F.lit(1e-6)))
-    return _mean_one(df.filter("split = 'train'").withColumn("weight", clip(w, 0.3, 4.0)), "weight")
+    cell = [(F.col(value) == 0).cast("int")]
+    counts = {k: c for k, *c in _cells(df, cell, ["train", "val", "test"])}
+    zeros, others = counts.get(1, [0, 0, 0]), counts.get(0, [0, 0, 0])
+    share = [z / max(z + o, 1) for z, o in zip(zeros, others)]
+    t, g = max(share[0], 1e-6), max((share[1] + share[2]) / 2, 1e-6)
+    raw = {(1,): _bounded(g / t, 0.3, 4.0), (0,): _bounded((1 - g) / max(1 - t, 1e-6), 0.3, 4.0)}
+    weights = _mean_one(raw, {(1,): zeros[0], (0,): others[0]})
+    return df.filter("split = 'train'").withColumn("weight", _weight_of(cell, weights))
 
 
 def minmax_percentile(df: DataFrame, value: str = "target", low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Scale by two train quantiles into [0, 1], and the value that the scaled one maps back to."""
-    q = quantile_scalar(df.filter("split = 'train'"), value, {"lo": low, "hi": high})
-    lo, gap = q.getField("lo"), F.greatest(q.getField("hi") - q.getField("lo"), F.lit(1e-9))
+    lo, hi = quantile_values(df.filter("split = 'train'"), value, [low, high])
+    gap = max(hi - lo, 1e-6)
     scaled = clip((F.col(value) - lo) / gap, 0.0, 1.0)
     return df.withColumn("scaled", scaled).withColumn("restored", F.col("scaled") * gap + lo)
 

@@ -49,27 +49,38 @@ def splits_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("split = 'train'"), df.filter("split <> 'train'")
 
 
-def boosted(df: DataFrame, weight: str | None = None, **params):
-    """Boosted trees with early stopping on the val split."""
-    rows = df.filter(F.col("split").isin("train", "val")).withColumn("_val", F.col("split") == "val")
+def boosted(df: DataFrame, weight: str | None = None, early_stop: bool = True, **params):
+    """Boosted trees, by default with early stopping on the val split."""
+    used = ("train", "val") if early_stop else ("train",)
+    rows = df.filter(F.col("split").isin(*used)).withColumn("_val", F.col("split") == "val")
     options = {"maxDepth": 4, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7",
                "lossType": "squared", "validationTol": 0.001, **params}
-    gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="p", seed=SEED, validationIndicatorCol="_val", **options)
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(rows)
+    gbt = GBTRegressor(featuresCol="features", labelCol="target", predictionCol="p", seed=SEED, **options)
+    if early_stop:
+        gbt = gbt.setValidationIndicatorCol("_val")
+    return fit_once(gbt.setWeightCol(weight) if weight else gbt, rows)
+
+
+def fit_once(estimator, rows: DataFrame):
+    """Fit on persisted rows: iterative learners read their input many times."""
+    rows = rows.persist()
+    model = estimator.fit(rows)
+    rows.unpersist()
+    return model
 
 
 def forest(train: DataFrame, trees: int = 20, depth: int = 6, weight: str | None = None):
     """Bagged trees as the second, independent learner of the blend."""
     rf = RandomForestRegressor(featuresCol="features", labelCol="target", predictionCol="p", numTrees=trees, maxDepth=depth,
                                minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=SEED)
-    return (rf.setWeightCol(weight) if weight else rf).fit(train)
+    return fit_once(rf.setWeightCol(weight) if weight else rf, train)
 
 
 def ridge(train: DataFrame, alpha: float = 1.0):
     """L2 linear baseline. The penalty of the summed loss is divided by the row count for the mean loss."""
     n = train.count()
-    return LinearRegression(featuresCol="features", labelCol="target", predictionCol="p", elasticNetParam=0.0,
-                            regParam=alpha / max(n, 1)).fit(train)
+    lr = LinearRegression(featuresCol="features", labelCol="target", predictionCol="p", elasticNetParam=0.0, regParam=alpha / max(n, 1))
+    return fit_once(lr, train)
 
 
 def tree(train: DataFrame):
@@ -157,7 +168,9 @@ def learning_curve(model, df: DataFrame, loss: str = "absolute") -> DataFrame:
     """(split, round, value, best) of a boosted model; the values are one number per round."""
     rows = []
     for s in ("train", "val", "test"):
-        values = model.evaluateEachIteration(df.filter(F.col("split") == s), loss)
+        part = df.filter(F.col("split") == s).persist()
+        values = model.evaluateEachIteration(part, loss)
+        part.unpersist()
         rows += [(s, i + 1, float(x)) for i, x in enumerate(values)]
     out = df.sparkSession.createDataFrame(rows, "split string, round int, value double")
     best = F.min(F.struct("value", "round")).over(Window.partitionBy("split"))

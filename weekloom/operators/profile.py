@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.numbers import ratio
-from weekloom.operators.rank import exact_quantiles, quantile_scalar
+from weekloom.operators.rank import exact_quantiles, quantile_values
 from weekloom.runtime import small_side
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -155,7 +155,7 @@ def best_lag(corr: DataFrame, digits: int = 9) -> DataFrame:
 
 def extreme_rain(df: DataFrame, rain: str, p: float = 0.95) -> DataFrame:
     """Mean cases in weeks above the rain quantile against all others, per disease."""
-    cut = quantile_scalar(df, rain, {"cut": p}).getField("cut")
+    cut = quantile_values(df, rain, [p])[0]
     wet = F.coalesce(F.col(rain) > cut, F.lit(False))
     normal, extreme = F.avg(F.when(~wet, F.col("target"))), F.avg(F.when(wet, F.col("target")))
     return df.groupBy("disease").agg(
@@ -219,4 +219,4 @@ def multivariate_anomaly(df: DataFrame, columns: Sequence[str], share: float = 0
     dist = sum(
         (d[i] * d[j] * F.lit(float(inv[i, j] * (1 if i == j else 2))) for i in range(k) for j in range(i, k)), F.lit(0.0))
     scored = full.withColumn("distance", dist)
-    return scored.filter(F.col("distance") > quantile_scalar(scored, "distance", {"cut": 1.0 - share}).getField("cut"))
+    return scored.filter(F.col("distance") > quantile_values(scored, "distance", [1.0 - share])[0])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.runtime import durable
+from weekloom.runtime import BROADCAST_ROWS, durable
 
 CELL = "_cell"
 
@@ -54,7 +54,15 @@ def row_positions(
 
 
 def order_codes(names: DataFrame, column: str, out: str) -> DataFrame:
-    """0-based alphabetical position of distinct names."""
+    """0-based alphabetical position of distinct names.
+
+    The names are kept once and counted: up to ``BROADCAST_ROWS`` of them are numbered in
+    one sort, more of them by the distributed positions.
+    """
+    names = durable(names)
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1
+        return names.select(column, place.cast("bigint").alias(out))
     return row_positions(names, [], [column], out).select(column, (F.col(out) - 1).alias(out))
 
 
@@ -64,35 +72,32 @@ def exact_quantiles(
     """Linearly interpolated quantiles ``{out: p}`` per group; NULL values are skipped.
 
     Equal values are counted before the shuffle, so a value held by a third of the
-    rows is one row afterwards. ``size`` names an optional row count column.
+    rows is one row afterwards. At most two rows per quantile and group survive the
+    rank filter and meet in the last aggregate. ``size`` names an optional count column.
     """
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     run = ordered_prefix(counts, by, [value], {"_c": "_n"})
-    first = F.col("_c") - F.col("_n")
-    hit = lambda r: (first <= r) & (r < F.col("_c"))
-    at = {o: F.lit(float(p)) * (F.col("_c_total") - 1) for o, p in probs.items()}
-    low = {o: F.floor(x) for o, x in at.items()}
-    high = {o: F.ceil(x) for o, x in at.items()}
-    wanted = None
-    for o in probs:
-        test = hit(low[o]) | hit(high[o])
-        wanted = test if wanted is None else wanted | test
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs.values()]), lambda p: p * (F.col("_c_total") - 1))
+    run = run.withColumn("_at", at).withColumn("_from", F.col("_c") - F.col("_n"))
+    near = lambda r: (F.ceil(r) >= F.col("_from")) & (F.floor(r) < F.col("_c"))
     picked = (
-        run.filter(wanted)
+        run.filter(F.exists("_at", near))
         .groupBy(*by)
         .agg(
-            F.max("_c_total").alias("_c_total"),
-            *[F.max(F.when(hit(low[o]), F.col(value))).alias(f"_l_{o}") for o in probs],
-            *[F.max(F.when(hit(high[o]), F.col(value))).alias(f"_h_{o}") for o in probs],
+            F.max("_c_total").alias("_n"), F.first("_at").alias("_at"),
+            F.collect_list(F.struct(F.col("_from").alias("lo"), F.col("_c").alias("hi"), F.col(value).cast("double").alias("v"))).alias("_vs"),
         )
     )
-    keep = [F.col(f"_l_{o}") + (F.col(f"_h_{o}") - F.col(f"_l_{o}")) * (at[o] - low[o]) for o in probs]
-    cols = [k.cast("double").alias(o) for o, k in zip(probs, keep)]
-    return picked.select(*by, *cols, *([F.col("_c_total").alias(size)] if size else []))
-
-
-def quantile_scalar(df: DataFrame, value: str, probs: dict[str, float]) -> Column:
-    """Whole-table quantiles as one struct, ready to use inside any expression."""
-    q = exact_quantiles(df, [], value, probs)
-    return q.select(F.struct(*probs).alias("q")).scalar()
+    pick = lambda r: F.get(F.filter("_vs", lambda x: (x.getField("lo") <= r) & (r < x.getField("hi"))), F.lit(0)).getField("v")
+    between = lambda r: pick(F.floor(r)) + (pick(F.ceil(r)) - pick(F.floor(r))) * (r - F.floor(r))
+    out = picked.withColumn("_q", F.transform("_at", between))
+    cols = [F.col("_q")[i].alias(o) for i, o in enumerate(probs)]
+    return out.select(*by, *cols, *([F.col("_n").alias(size)] if size else []))
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
+    """Whole-table quantiles as plain numbers: one row reaches the driver."""
+    names = {f"q{i}": p for i, p in enumerate(probs)}
+    row = exact_quantiles(df, [], value, names).first()
+    return [float(row[n]) for n in names]

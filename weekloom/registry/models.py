@@ -153,7 +153,7 @@ def poisson_model(v):
 @query("learning_curve")
 def learning_curve(v):
     table = _table(v)
-    return show(learn.learning_curve(learn.boosted(table, maxIter=10), table), ["split", "round", "best"], ["value"])
+    return show(learn.learning_curve(learn.boosted(table, early_stop=False, maxIter=10), table), ["split", "round", "best"], ["value"])
 
 
 @query("tree_importance")
@@ -313,7 +313,7 @@ _WEEK_SQL = {"rw": f"SELECT district, CAST(date_trunc('week', ts) AS DATE) AS we
   strftime(c.week_start, '%Y-%m-%d') || ' to ' || strftime(CAST(c.week_start + 6 AS DATE), '%Y-%m-%d') AS duration, """ + ", ".join(
     f"CASE WHEN {' AND '.join(f'w{i}.district IS NOT NULL' for i in range(1, 7))} THEN round(w{k}.{c}, 6) END AS {c}_lag_{k}" for c in _ROW for k in range(1, 7))
     + " FROM rw c " + " ".join(f"LEFT JOIN hist w{k} ON w{k}.district = c.district AND w{k}.week_start = c.week_start - {7 * k}" for k in range(1, 7)),
-    {**_WEEK_SQL, "hist": f"SELECT district, CAST(week_start + 7 * s AS DATE) AS week_start, {', '.join(f'{c} + s AS {c}' for c in _ROW)} FROM rw, (SELECT unnest([-4, 0]) AS s) WHERE s = 0 OR week_start >= DATE '2024-01-08'"}))
+    {**_WEEK_SQL, "hist": f"SELECT district, CAST(week_start + 7 * s AS DATE) AS week_start, {', '.join(f'{c} + s AS {c}' for c in _ROW)} FROM rw, (SELECT unnest([-4, 0]) AS s) WHERE s = 0 OR week_start >= DATE '2024-01-08' QUALIFY row_number() OVER (PARTITION BY district, CAST(week_start + 7 * s AS DATE) ORDER BY s DESC) = 1"}))
 def weekly_feature_row(v):
     day = lambda s: F.lit(s).cast("date")
     base = weekly.weekly_climate(v.readings, "ts")
@@ -335,7 +335,7 @@ def stream_weekly_climate(v):
     from weekloom.plans.views import readings_of
 
     path, state = new_folder(v.spark, "weeks"), new_folder(v.spark, "state")
-    source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.folder}/events.parquet")
+    source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.folder}/event[s].parquet")
     live = readings_of(source).withColumn("ts", F.col("ts").cast("timestamp"))
     stream.run_to_table(stream.weekly_stream(live), path, state)
     return show(stream.read_table(v.spark, path), ["district", "week_start"], WEEKLY_CLIMATE)

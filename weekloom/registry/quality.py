@@ -218,7 +218,7 @@ def zero_align_weights(v):
 
 @query("minmax_percentile", view("forecasts", """
 SELECT disease, district, week_start, round(greatest(0, least(1, (b - lo) / g)), 6) AS scaled, round(greatest(0, least(1, (b - lo) / g)) * g + lo, 6) AS restored
-FROM forecasts, (SELECT quantile_cont(b, 0.005) AS lo, greatest(quantile_cont(b, 0.995) - quantile_cont(b, 0.005), 1e-9) AS g FROM forecasts WHERE split = 'train')"""))
+FROM forecasts, (SELECT quantile_cont(b, 0.005) AS lo, greatest(quantile_cont(b, 0.995) - quantile_cont(b, 0.005), 1e-6) AS g FROM forecasts WHERE split = 'train')"""))
 def minmax_percentile(v):
     return show(drift.minmax_percentile(v.kept_forecasts, "b"), KEY, ["scaled", "restored"])
 

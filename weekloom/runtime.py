@@ -19,6 +19,7 @@ def build_session(app: str = "weekloom", master: str | None = None, partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
