@@ -185,12 +185,12 @@ def union_splits(v):
 
 
 @query("union_padded", view(("series", "climate_weekly"), """
-SELECT district, week_start, target, CAST(0 AS DOUBLE) AS T2M_avg FROM series WHERE disease = 'typhus'
-UNION ALL SELECT district, CAST(week_start + 371 AS DATE), 0, round(T2M_avg, 6) FROM climate_weekly WHERE week_start >= DATE '2001-01-01'"""))
+SELECT district, week_start, target, CAST(0 AS DOUBLE) AS T2M_avg FROM series
+UNION ALL SELECT district, CAST(week_start + 3710 AS DATE), 0, round(T2M_avg, 6) FROM climate_weekly"""))
 def union_padded(v):
-    past = v.series.filter("disease = 'typhus'").select("district", "week_start", "target")
-    new = v.climate_weekly.filter("week_start >= DATE'2001-01-01'").select(
-        "district", F.date_add("week_start", 371).alias("week_start"), F.round("T2M_avg", 6).alias("T2M_avg"))
+    past = v.series.select("district", "week_start", "target")
+    new = v.climate_weekly.select(
+        "district", F.date_add("week_start", 3710).alias("week_start"), F.round("T2M_avg", 6).alias("T2M_avg"))
     return past.unionByName(new, allowMissingColumns=True).fillna(0)
 
 

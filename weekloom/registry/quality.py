@@ -144,15 +144,8 @@ def leakage_screen(v):
     return show(drift.leakage_screen(df, _SCREEN), ["feature", "suspicious"], ["ks_train_val", "ks_val_test"])
 
 
-_TYPHUS = {"t": "SELECT * FROM series WHERE disease = 'typhus'"}
-
-
-def _one(v):
-    """Weights are fitted per disease; one disease stands for the per-disease call."""
-    return v.kept_series.filter("disease = 'typhus'")
-
-
-_ROW = "district, week_start, target"
+_T = {"t": "SELECT * FROM series"}
+_ROW = "disease, district, week_start, target"
 
 
 @query("hist_reweight", view("series", f"""
@@ -162,9 +155,9 @@ SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
       count(*) FILTER (WHERE split = 'test') * 1.0 / (SELECT count(*) FROM t WHERE split = 'test') AS te
     FROM t, span WHERE split IN ('val', 'test') GROUP BY 1) h USING (bin) WHERE split = 'val')""".replace(
     "{bin}", "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS INTEGER)").replace("span", "sp"),
-    {**_TYPHUS, "sp": "SELECT CAST(min(target) AS DOUBLE) AS lo, max(target) + 1e-9 AS hi FROM t WHERE split IN ('val', 'test')"}))
+    {**_T, "sp": "SELECT CAST(min(target) AS DOUBLE) AS lo, max(target) + 1e-9 AS hi FROM t WHERE split IN ('val', 'test')"}))
 def hist_reweight(v):
-    return show(drift.hist_reweight(_one(v)), ["district", "week_start"], ["weight"], ["target"])
+    return show(drift.hist_reweight(v.kept_series), KEY, ["weight"], ["target"])
 
 
 def _edges(source, n):
@@ -177,9 +170,9 @@ def _bin(n):
 
 @query("decile_weights", view("series", f"""
 SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
-  SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY bin)) AS w FROM (SELECT *, {_bin(10)} AS bin FROM t, ed))""", {**_TYPHUS, "ed": _edges("t", 10)}))
+  SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY bin)) AS w FROM (SELECT *, {_bin(10)} AS bin FROM t, ed))""", {**_T, "ed": _edges("t", 10)}))
 def decile_weights(v):
-    return show(drift.inverse_root_weights(_one(v)), ["district", "week_start"], ["weight"], ["target"])
+    return show(drift.inverse_root_weights(v.kept_series), KEY, ["weight"], ["target"])
 
 
 _VBIN = "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS INTEGER)"
@@ -189,21 +182,21 @@ _VBIN = "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS I
 SELECT {_ROW}, round(c / avg(c) OVER (), 6) AS weight FROM (SELECT *, 0.8 * f / avg(f) OVER () + 0.2 * d / avg(d) OVER () AS c FROM (
   SELECT t.*, 1 / sqrt(count(*) OVER (PARTITION BY qbin)) AS f, greatest(0.2, least(5.0, coalesce(r, 1.0))) AS d
   FROM (SELECT t.*, {_bin(20)} AS qbin, {_VBIN} AS hbin FROM t, ed, sp WHERE split = 'train') t LEFT JOIN h USING (hbin)))""", {
-    **_TYPHUS, "tr": "SELECT * FROM t WHERE split = 'train'", "ed": _edges("tr", 20),
+    **_T, "tr": "SELECT * FROM t WHERE split = 'train'", "ed": _edges("tr", 20),
     "sp": "SELECT CAST(min(target) AS DOUBLE) AS lo, CAST(max(target) AS DOUBLE) AS hi FROM t WHERE split = 'val'",
     "hc": f"SELECT {_VBIN} AS hbin, count(*) FILTER (WHERE split = 'train') AS tn, count(*) FILTER (WHERE split = 'val') AS vn FROM t, sp WHERE split IN ('train', 'val') AND target BETWEEN lo AND hi GROUP BY 1",
     "h": "SELECT hbin, (vn * 1.0 / (SELECT sum(vn) FROM hc)) / (nullif(tn, 0) * 1.0 / (SELECT sum(tn) FROM hc)) AS r FROM hc"}))
 def blend_weights_20_80(v):
-    return show(drift.blend_weights_20_80(_one(v)), ["district", "week_start"], ["weight"], ["target"])
+    return show(drift.blend_weights_20_80(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("align_weights", view("series", f"""
 SELECT {_ROW}, round(w / (avg(w) OVER () + 1e-9), 6) AS weight FROM (SELECT b.*, (en * 1.0 / et) / (tn * 1.0 / tt) AS w
   FROM (SELECT * FROM b WHERE split = 'train') b JOIN c USING (bin), (SELECT sum(tn) + 10 - count(*) AS tt, sum(en) AS et FROM c))""", {
-    **_TYPHUS, "two": "SELECT * FROM t WHERE split IN ('train', 'test')", "ed": _edges("two", 10), "b": f"SELECT two.*, {_bin(10)} AS bin FROM two, ed",
+    **_T, "two": "SELECT * FROM t WHERE split IN ('train', 'test')", "ed": _edges("two", 10), "b": f"SELECT two.*, {_bin(10)} AS bin FROM two, ed",
     "c": "SELECT bin, greatest(count(*) FILTER (WHERE split = 'train'), 1) AS tn, count(*) FILTER (WHERE split = 'test') AS en FROM b GROUP BY bin"}))
 def align_weights(v):
-    return show(drift.align_weights(_one(v)), ["district", "week_start"], ["weight"], ["target"])
+    return show(drift.align_weights(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("zero_align_weights", view("series", f"""
@@ -211,9 +204,9 @@ SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
   SELECT t.*, greatest(0.3, least(4.0, CASE WHEN target = 0 THEN g / z ELSE (1 - g) / greatest(1 - z, 1e-6) END)) AS w FROM t,
    (SELECT greatest(avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'train'), 1e-6) AS z,
       greatest((avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'val') + avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'test')) / 2, 1e-6) AS g FROM t)
-  WHERE split = 'train')""", _TYPHUS))
+  WHERE split = 'train')""", _T))
 def zero_align_weights(v):
-    return show(drift.zero_align_weights(_one(v)), ["district", "week_start"], ["weight"], ["target"])
+    return show(drift.zero_align_weights(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("minmax_percentile", view("forecasts", """
