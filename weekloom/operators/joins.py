@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.dates import as_col
@@ -45,17 +45,13 @@ def hierarchical_mean(
 def lag_weeks(df: DataFrame, columns: Sequence[str], depth: int, by: Sequence[str], week: str = "week_start") -> DataFrame:
     """The ``depth`` calendar weeks before each row, newest first, only where all of them exist.
 
-    Each source week is sent to the ``depth`` weeks that need it and folded there with one
-    aggregate, so no self join per lag is needed and a district's history is never one group.
+    Weeks are unique per key, so the ``depth``-th row back lies exactly ``depth`` weeks back only
+    if no week between is missing: one window and one shuffle instead of a self join per lag.
     """
-    offsets = F.explode(F.array(*[F.lit(k) for k in range(1, depth + 1)]))
-    sent = (
-        df.select(*by, week, *columns).withColumn("_k", offsets)
-        .withColumn(week, F.date_add(F.col(week), F.col("_k") * 7))
-    )
-    picks = [F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{c}_lag_{k}") for c in columns for k in range(1, depth + 1)]
-    lags = sent.groupBy(*by, week).agg(F.count("*").alias("_weeks"), *picks).filter(F.col("_weeks") == depth).drop("_weeks")
-    return df.select(*by, week).join(lags, [*by, week])
+    w = Window.partitionBy(*by).orderBy(week)
+    lags = {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in range(1, depth + 1)}
+    rows = df.select(*by, week, *columns).withColumns({**lags, "_oldest": F.lag(week, depth).over(w)})
+    return rows.filter(F.col("_oldest") == F.date_sub(F.col(week), 7 * depth)).select(*by, week, *lags)
 
 
 def present_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:

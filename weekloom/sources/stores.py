@@ -27,7 +27,7 @@ def read_weeks(spark: SparkSession, path: str, wanted: DataFrame, compute: DataF
     """
     cached = spark.read.parquet(path).withColumn(week, F.col(week).cast("date"))
     hits = cached.join(wanted, week, "left_semi").withColumn("source", F.lit("cache"))
-    missing = wanted.join(cached.select(week), week, "left_anti")
+    missing = wanted.join(cached.select(week).distinct(), week, "left_anti")
     misses = compute.join(missing, week, "left_semi").withColumn("source", F.lit("computed"))
     return hits.unionByName(misses)
 
