@@ -123,7 +123,7 @@ def test_stream_over_several_batches_equals_batch(spark, views):
     from weekloom.streaming import weekly as stream
 
     source, path, state = (new_folder(spark, n) for n in ("in", "out", "state"))
-    rows = views.readings.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = views.readings
     rows.orderBy("ts").repartitionByRange(4, "ts").write.parquet(source)
     live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream.run_to_table(stream.weekly_stream(live, late="60 days"), path, state)

@@ -61,6 +61,31 @@ def test_order_codes_small_and_distributed(spark, monkeypatch):
     assert {r.n: r.code for r in rank.order_codes(names, "n", "code").collect()} == want
 
 
+@pytest.fixture()
+def many_cells(spark):
+    """Keep every range partition, so groups really span several cells."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
+def test_groups_spanning_cells(skewed, many_cells):
+    pdf, df = skewed
+    laid = df.repartitionByRange("g", "v", "k").withColumn("p", F.spark_partition_id())
+    assert laid.filter("g = 'hot'").select("p").distinct().count() > 1
+    got = rank.ordered_prefix(df, ["g"], ["v", "k"], {"c": "k"}).toPandas()
+    for g, part in got.groupby("g"):
+        part = part.sort_values(["v", "k"])
+        assert list(part["c"]) == list(part["k"].cumsum()) and set(part["c_total"]) == {part["k"].sum()}
+    q = rank.exact_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.77}).toPandas().set_index("g")
+    for g, part in pdf.groupby("g"):
+        assert list(q.loc[g, ["a", "b"]]) == pytest.approx(list(np.quantile(part["v"], [0.1, 0.77])))
+    assert rank.quantile_values(df, "v", [0.5]) == pytest.approx([pdf["v"].median()])
+    at = rank.row_positions(df, [], ["v", "k"]).toPandas().sort_values(["v", "k"])["position"]
+    assert list(at) == list(range(1, len(pdf) + 1))
+
+
 def test_ks_matches_brute_force(skewed):
     pdf, df = skewed
     got = drift.ks_pairs(df, ["g"], "v", "split", [("train", "test")]).toPandas().set_index("g")["ks_train_test"]

@@ -35,6 +35,16 @@ def epoch_date(seconds: Column | str) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(as_col(seconds) / 86400).cast("int"))
 
 
+def epoch_seconds(ts: Column | str) -> Column:
+    """Seconds since 1970 of a zone-less timestamp read as UTC, whatever the session time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), as_col(ts))
+
+
+def utc_instant(ts: Column | str) -> Column:
+    """A zone-less timestamp as the UTC instant that reads the same."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), as_col(ts)))
+
+
 def span_text(start: Column | str, end: Column | str) -> Column:
     day = "yyyy-MM-dd"
     return F.concat_ws(" to ", F.date_format(as_col(start), day), F.date_format(as_col(end), day))

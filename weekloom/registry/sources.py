@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.constants import CLIMATE_VARIABLES, DAILY_SOURCE_COORDINATES, DISEASES, READING_SOURCE_COORDINATES
-from weekloom.functions.dates import week_start
+from weekloom.functions.dates import epoch_seconds, week_start
 from weekloom.registry.base import out, query, show
 from weekloom.registry.sql import view
 from weekloom.runtime import new_folder
@@ -90,7 +90,7 @@ SELECT event_id, district, CAST(ts AS DATE) AS d, 1 AS item, round(T2M, 6) AS T2
 UNION ALL
 SELECT event_id, district, CAST(ts + INTERVAL 3 HOUR AS DATE), 2, round(T2M, 6), round(T2M, 6), round(T2M, 6), round(RH2M, 6), 0.0 FROM readings"""))
 def json_reading_list(v):
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = epoch_seconds("ts")
     k = F.col("event_id") % 3
     nothing = F.lit(None).cast("double")
     rain = F.struct(
@@ -117,7 +117,7 @@ def json_current(v):
     rain = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("PRECTOTCORR").alias("1h")))
     main = F.struct(F.col("T2M").alias("temp"), F.col("T2M_MAX").alias("temp_max"), F.col("T2M_MIN").alias("temp_min"), F.col("RH2M").alias("humidity"))
     doc = F.struct(
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("dt"), main.alias("main"), rain.alias("rain"),
+        epoch_seconds("ts").alias("dt"), main.alias("main"), rain.alias("rain"),
         F.array(F.struct(F.col("event_type").alias("description"))).alias("weather"),
     )
     df = payloads.current_reading(v.readings.select("event_id", "district", F.to_json(doc).alias("payload")))

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.functions.dates import epoch_date, utc_instant
 from weekloom.operators.weekly import climate_aggregates
 
 
 def weekly_stream(readings: DataFrame, ts: str = "ts", area: str = "district", late: str = "7 days") -> DataFrame:
-    """Tumbling Monday weeks per area. Epoch day 0 is a Thursday, hence the 4-day offset."""
+    """Tumbling Monday weeks per area. Epoch day 0 is a Thursday, hence the 4-day offset.
+
+    Watermarks need an instant, so zone-less timestamps are read as UTC; the week's
+    date is taken from the epoch as well and does not depend on the session time zone.
+    """
+    if dict(readings.dtypes)[ts] == "timestamp_ntz":
+        readings = readings.withColumn(ts, utc_instant(ts))
     weeks = F.window(ts, "7 days", "7 days", "4 days")
     return (
         readings.withWatermark(ts, late)
         .groupBy(area, weeks.alias("w"))
         .agg(*climate_aggregates())
-        .withColumn("week_start", F.col("w.start").cast("date"))
+        .withColumn("week_start", epoch_date(F.unix_seconds("w.start")))
         .drop("w")
     )
 
