@@ -283,10 +283,11 @@ def first_n_distinct(v):
     return v.series.filter("target > 2").select("week_start").distinct().orderBy("week_start").limit(5)
 
 
-@query("sample_rows")
+@query("sample_rows", view("cases_weekly", """
+SELECT district, week_start, disease, target FROM cases_weekly ORDER BY district, week_start, disease LIMIT 100"""))
 def sample_rows(v):
-    # head(n) is the operator: any n rows.
-    return v.cases_weekly.limit(100)
+    # head(n) is the operator; a total order makes it repeatable and each task keeps n rows only.
+    return v.cases_weekly.orderBy("district", "week_start", "disease").limit(100).select("district", "week_start", "disease", "target")
 
 
 _SEASON = ["month", "week_number"]

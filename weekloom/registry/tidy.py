@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekloom.constants import CLIMATE_VARIABLES, DISEASES, EXPECTED_RANGES, SEASON_COLUMNS, WEEKLY_CLIMATE
-from weekloom.functions import dates, numbers, text
+from weekloom.constants import DISEASES, EXPECTED_RANGES, SEASON_COLUMNS, WEEKLY_CLIMATE
+from weekloom.functions import numbers, text
 from weekloom.operators import joins, tidy
 from weekloom.operators.features import climate_lags, series_window
 from weekloom.operators.weekly import block_weekly_climate
