@@ -48,44 +48,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     part = TaskContext.get().partitionId()
     head = None  # (sha, text) of the open run
-    ids: list[np.ndarray] = []
-    nulls: list[np.ndarray] = []
+    ids: list[int | None] = []  # of the open run: within one partition, so bounded by its rows
+    done: list[tuple] = []  # (ids, keep id, sha, edge, text of a border run)
+    waiting = 0
     first = True
 
-    def closed(last: bool) -> pa.RecordBatch:
-        i, null = np.concatenate(ids), np.concatenate(nulls)
-        n = len(i)
+    def close(last: bool) -> None:
         edge = first + 2 * last
-        keep = None if null[0] else int(i[0])
-        at_head = np.arange(n) == 0
+        done.append((ids, ids[0], head[0], edge, head[1] if edge else None))
+
+    def emitted() -> pa.RecordBatch:
+        sizes = np.array([len(d[0]) for d in done])
+        starts = np.zeros(int(sizes.sum()), dtype=bool)
+        at = np.cumsum(sizes) - sizes
+        starts[at] = True
+        edges = np.repeat(np.array([d[3] for d in done], dtype=np.int32), sizes)
+        run = pa.array(np.repeat(np.arange(len(done)), sizes))
+        of_first = pa.array(np.where(starts, np.repeat(np.arange(len(done)), sizes), 0), mask=~starts)
         return pa.RecordBatch.from_arrays([
-            pa.array(i, mask=null), pa.array([keep] * n, pa.int64()), pa.array(np.full(n, n)), pa.array(at_head), pa.array([head[0]] * n, pa.string()),
-            pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, edge, np.int32)),
-            pa.array([head[1] if edge and k == 0 else None for k in range(min(n, 1))] + [None] * (n - 1), pa.string()), pa.array(at_head & (edge > 0)),
+            pa.array([i for d in done for i in d[0]], pa.int64()),
+            pa.array([d[1] for d in done], pa.int64()).take(run), pa.array(np.repeat(sizes, sizes)), pa.array(starts),
+            pa.array([d[2] for d in done], pa.string()).take(run), pa.array(np.full(len(starts), part, np.int32)), pa.array(edges),
+            pa.array([d[4] for d in done], pa.string()).take(of_first), pa.array(starts & (edges > 0)),
         ], names=["id", "keep_id", "size", "kept", "sha", "part", "edge", "text", "alone"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        sha, text, own = b.column("sha"), b.column("norm"), b.column("id")
-        null = np.asarray(pc.is_null(own))
-        own = np.asarray(pc.fill_null(own, 0))
+        sha, text, own = b.column("sha").to_pylist(), b.column("norm"), b.column("id").to_pylist()
         new = np.empty(b.num_rows, dtype=bool)
         new[0] = head is None or head[1] != text[0].as_py()
         new[1:] = np.asarray(pc.not_equal(text[1:], text[:-1]))
-        starts = np.flatnonzero(new)
-        bounds = [0, *starts.tolist(), b.num_rows]
+        bounds = [0, *np.flatnonzero(new).tolist(), b.num_rows]
         for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
             if k:
                 if head is not None:
-                    yield closed(False)
+                    close(False)
                     first = False
-                head, ids, nulls = (sha[lo].as_py(), text[lo].as_py()), [], []
-            if hi > lo:
-                ids.append(own[lo:hi])
-                nulls.append(null[lo:hi])
+                    waiting += len(ids)
+                head, ids = (sha[lo], text[lo].as_py()), []
+            ids.extend(own[lo:hi])
+        if waiting >= 4096:
+            yield emitted()
+            done, waiting = [], 0
     if head is not None:
-        yield closed(True)
+        close(True)
+        yield emitted()
 
 
 def _joined_runs(edges: DataFrame) -> list[tuple]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, url_rules
+from weekloom.llm import exact_dedup, packing, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file() -> str:
+    """Place of the public byte-level BPE vocabulary; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -64,3 +72,9 @@ FROM n WINDOW w AS (PARTITION BY t)
 @query("op1_exact_dedup", EXACT_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup_by_content_sort(table(spark, folder, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
