@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, packing, topk_search, url_rules
+from weekloom.llm import exact_dedup, language_id, packing, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk_search.whole_vectors(table(spark, folder, "embeddings"), 64, "vec_id", "embedding")
     return topk_search.top_k(vectors, vectors.filter(F.col("id") % 20 == 0), 20)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.train(docs))
