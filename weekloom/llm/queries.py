@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, language_id, packing, topk_search, url_rules
+from weekloom.llm import exact_dedup, language_id, mixing, packing, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language_id.predict(docs, language_id.train(docs))
+
+
+@query("op3_source_mixing", mixing.mixing_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("row.text")
+    return mixing.mixed(table(spark, folder, "documents")).select(
+        "row.doc_id", "row.source", "row.lang", mixing.form_topic(text).alias("topic"), mixing.tokens_of(text).alias("tokens"),
+        F.round("probability", 6).alias("probability"), "kept")
