@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, language_id, mixing, packing, topk_search, url_rules
+from weekloom.llm import exact_dedup, language_id, mixing, packing, pseudonyms, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select(
         "row.doc_id", "row.source", "row.lang", mixing.form_topic(text).alias("topic"), mixing.tokens_of(text).alias("tokens"),
         F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op4_pii_pseudonyms")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"), "an example key, a secret in production")
