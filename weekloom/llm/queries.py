@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, language_id, mixing, packing, pseudonyms, topk_search, url_rules
+from weekloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing, pseudonyms, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_pii_pseudonyms")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, folder, "documents"), "an example key, a secret in production")
+
+
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, folder, "documents"))
