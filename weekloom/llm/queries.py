@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing, pseudonyms, topk_search, url_rules
+from weekloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pseudonyms, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, folder, "documents"))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select("row.doc_id", "text", "n_lines", "n_removed")
