@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
+SALTS = 8
+MOST = (1 << 32) - 1
 
 
 def bounded_arrow(spark: SparkSession) -> None:
@@ -61,3 +65,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def table_rows(counts: np.ndarray, slots: int) -> pa.RecordBatch:
+    """A task's counter table as ``slots`` rows (slot, salt, counts)."""
+    pieces = np.minimum(counts, MOST).astype("<u4").reshape(slots, -1)
+    salt = TaskContext.get().partitionId() % SALTS
+    return pa.RecordBatch.from_arrays([
+        pa.array(range(slots), pa.int32()), pa.array([salt] * slots, pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())],
+        names=["slot", "salt", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for slot, counts in zip(b.column("slot").to_pylist(), b.column("counts").to_pylist()):
+            sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, MOST).astype("<u4").tobytes() for v in sums.values()], pa.binary())],
+        names=["slot", "counts"])
+
+
+def summed_table(rows: DataFrame, size: int, slots: int) -> np.ndarray:
+    """The counter tables of all tasks added up, salted first; the result has a fixed size."""
+    part = rows.select("slot", "salt", "counts").repartition("slot", "salt").select("slot", "counts").mapInArrow(_added, "slot int, counts binary")
+    out = np.zeros((slots, size // slots), dtype=np.int64)
+    for r in part.repartition("slot").mapInArrow(_added, "slot int, counts binary").collect():
+        out[r.slot] = np.frombuffer(r.counts, "<u4")
+    return out.reshape(-1)

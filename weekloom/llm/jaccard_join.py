@@ -34,11 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import bounded_arrow, groups_of, mixed
+from weekloom.llm.common import bounded_arrow, groups_of, summed_table, table_rows
 from weekloom.llm.components import connected
 from weekloom.llm.overlap_index import OverlapIndex, least_overlap
 from weekloom.llm.shingles import set_key, shingle_sets
@@ -46,7 +45,6 @@ from weekloom.runtime import stored
 
 COUNTERS = 1 << 18
 SLOTS = 8  # pieces of the counter table
-SALTS = 8
 BLOCK, CHUNK = 256, 1024  # sets of an index block, askers that meet it in one task
 SEEN = 1 << 20  # class keys a task remembers, so that copies offer their lists once
 FLUSH = 1 << 16
@@ -77,32 +75,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.column("id")[lo:hi], pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
             ], names=names)
-    pieces = np.minimum(counts, (1 << 32) - 1).astype("<u4").reshape(SLOTS, -1)
-    salt = TaskContext.get().partitionId() % SALTS
-    yield pa.RecordBatch.from_arrays([
-        *[pa.nulls(SLOTS, pa.int64())] * 4, pa.array(range(SLOTS), pa.int32()), pa.array([salt] * SLOTS, pa.int32()),
-        pa.array([p.tobytes() for p in pieces], pa.binary())], names=names)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for slot, counts in zip(b.column("slot").to_pylist(), b.column("counts").to_pylist()):
-            sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())],
-        names=["slot", "counts"])
-
-
-def _counter_table(passed: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up in two steps; its size is fixed."""
-    part = passed.filter("slot IS NOT NULL").select("slot", "salt", "counts").repartition("slot", "salt").select("slot", "counts").mapInArrow(
-        _added, "slot int, counts binary")
-    rows = part.repartition("slot").mapInArrow(_added, "slot int, counts binary").collect()
-    out = np.zeros((SLOTS, COUNTERS // SLOTS), dtype=np.int64)
-    for r in rows:
-        out[r.slot] = np.frombuffer(r.counts, "<u4")
-    return out.reshape(-1)
+    table = table_rows(counts, SLOTS)
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(SLOTS, pa.int64())] * 4, *table.columns], names=names)
 
 
 def _postings(counters):
@@ -287,7 +261,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed_up = rows.groupBy("key").agg(F.min("again").alias("x"), F.max("again").alias("y")).filter("x <> y").limit(1).count()
     if mixed_up:
         raise RuntimeError("two different shingle sets share a 64-bit key; change the seed in shingles.set_key")
-    counters = spark.sparkContext.broadcast(_counter_table(passed))
+    counters = spark.sparkContext.broadcast(summed_table(passed.filter("slot IS NOT NULL"), COUNTERS, SLOTS))
     links = stored(_links(texts, rows, counters), "links")
     roots = connected(links, "a", "b")
     # named by class, so that a class of many rows is one row here

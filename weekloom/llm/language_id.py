@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,3 +241,26 @@ def predict(docs: DataFrame, model: ByteLanguages, id_col: str = "doc_id", text_
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_predictions(model), f"id {kind}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def _labelled(model: ByteLanguages, least: float):
+    predicted = _predictions(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            asked = pa.RecordBatch.from_arrays(
+                [pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.bool_()), b.column("text")], names=["id", "held_out", "text"])
+            out = pa.Table.from_batches(list(predicted([asked])))
+            lang, score = out["lang_pred"].combine_chunks(), np.asarray(out["score"])
+            keep = pa.array(np.asarray(pc.not_equal(lang, UND)) & (score >= least))
+            yield b.set_column(b.schema.get_field_index("lang"), "lang", lang).filter(keep)
+
+    return run
+
+
+def labelled(docs: DataFrame, model: ByteLanguages, least: float) -> DataFrame:
+    """Rows of ``docs`` (with text and lang) in a known language at a score of ``least`` or more; lang is the predicted one."""
+    bounded_arrow(docs.sparkSession)
+    return docs.mapInArrow(_labelled(model, least), docs.schema)

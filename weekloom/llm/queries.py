@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pseudonyms, topk_search, url_rules
+from weekloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("row.doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return lm_scoring.cross_entropy_difference(table(spark, folder, "documents"), labels)

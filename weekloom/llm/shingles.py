@@ -17,16 +17,20 @@ _hash = SpanHash(seed=3)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle numbers of each text; a text of fewer words is one shingle, one without words none."""
+def word_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of the lower-cased words of all texts, and where each text's words begin and end."""
     raw = [t.encode() + b" " for t in texts]
     ends = np.cumsum([len(r) for r in raw])
     data = _LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
     inside = ~_SPACE[data]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    w = _hash(data, starts, stops)
-    bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
+    return _hash(data, starts, stops), np.concatenate([[0], np.searchsorted(starts, ends)])
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle numbers of each text; a text of fewer words is one shingle, one without words none."""
+    w, bounds = word_numbers(texts)
     n = len(w) - words + 1
     run = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(words):
