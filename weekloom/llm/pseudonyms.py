@@ -210,7 +210,7 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_found): every row, with all findings replaced."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    some = F.rlike("text", F.lit(r"\d\d|@|[0-9a-f]{32}"))
+    some = F.rlike("text", F.lit(r"\d\d|\d\.\d|@|[0-9a-f]{32}"))
     hits = rows.withColumn("hits", F.when(some, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))))
     between = F.split(F.col("text"), FOUND, -1)
     rebuilt = let(between, lambda p: F.concat(
