@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, topk_search, url_rules
+from weekloom.llm import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
     return lm_scoring.cross_entropy_difference(table(spark, folder, "documents"), labels)
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks)
