@@ -16,9 +16,9 @@ SALTS = 8
 MOST = (1 << 32) - 1
 
 
-def bounded_arrow(spark: SparkSession) -> None:
+def bounded_arrow(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches that go to Python by rows and bytes, as one text may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

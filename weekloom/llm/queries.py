@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, topk_search, url_rules
+from weekloom.llm import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, spelling, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
