@@ -46,12 +46,12 @@ def test_words_are_forgotten_when_many(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1)
     batches = docs.select(F.col("doc_id").alias("id"), F.split("text", " ").alias("words")).toArrow().to_batches(max_chunksize=20)
     monkeypatch.setattr(byte_bpe, "MOST_WORDS", 50)
-    rows = [b.to_pylist()[0] for b in byte_bpe._numbered(iter(batches))]
+    rows = [b.to_pylist()[0] for b in byte_bpe._numbered({})(iter(batches))]
     assert any(r["restart"] for r in rows) and not rows[0]["restart"]
     words, at = [], []
     for r in rows:
         words = ([] if r["restart"] else words) + r["new"]
-        at += [words[c].decode() for c in memoryview(r["codes"]).cast("i")]
+        at += [bytes(words[c]).decode() for c in memoryview(r["codes"]).cast("i")]
     assert at == [w for b in batches for ws in b.column("words").to_pylist() for w in ws]
 
 
@@ -59,10 +59,21 @@ def test_heap_equals_the_fold(spark):
     rnd = random.Random(9)
     words = ["".join(rnd.choice("theinaro") for _ in range(rnd.randint(2, 40))).encode() for _ in range(400)]
     table = byte_bpe.rank_literal(RANKS)
-    got = spark.createDataFrame([(w,) for w in words], "w binary").select("w", byte_bpe.encoded_word(table, F.col("w")).alias("ids")).collect()
-    for r in got:
-        whole = RANKS.get(bytes(r.w))
-        assert list(r.ids) == ([whole] if whole is not None else byte_bpe.merge_long(RANKS, bytes(r.w)))
+    rows = [(w, list(w)) for w in [*words, *list(RANKS)[:3000:7], b""]]
+    got = spark.createDataFrame(rows, "w binary, b array<smallint>").select("w", byte_bpe.encoded_word(table, F.col("b")).alias("ids")).collect()
+    assert [list(r.ids) for r in got] == [byte_bpe.merge_long(RANKS, bytes(r.w)) for r in got]
+
+
+def test_pieces_that_no_merge_reaches(spark, tmp_path):
+    """A rank file whose piece ``abc`` has neither ``ab`` nor ``bc``: the word is that piece, inside others it is not made."""
+    import base64
+
+    pieces = [bytes([b]) for b in range(256)] + [b"abc", b"xy", b"xyz"]
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(p) + b" " + str(k).encode() for k, p in enumerate(pieces)))
+    tool = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: k for k, p in enumerate(pieces)}, special_tokens={})
+    texts = ["abc", "abcabc xyz", "abc xyzabc", " abc"]
+    got = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), str(tmp_path / "ranks"), public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {k: tool.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
 def test_digests(spark):

@@ -1,16 +1,16 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, by Spark's higher-order functions.
 
 A pattern cuts every text into words on the JVM. A task numbers its distinct
-words; each is encoded once there: a fold over the word's byte pieces merges the
+words; each is encoded once there: a fold over the word's array of bytes merges the
 adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The
-ranks are one literal, an array of small buckets addressed by the CRC-32 of a
-piece, so a lookup reads one bucket. The documents' word numbers are then
-replaced by ids. Nothing is shuffled and no state outlives a task; a
+ranks are one literal: a perfect hash of all pairs of pieces that make a piece,
+so a lookup reads one slot. Pieces that no merges lead to are taken from a list of
+their own. The documents' word numbers are then replaced by ids. Nothing is shuffled and no state outlives a task; a
 task forgets its words when they pass ``MOST_WORDS`` or ``MOST_BYTES`` and goes on.
 
 The fold copies a word's pieces at every merge, which is quadratic in the length
 of one word. Words over ``LONG`` bytes are therefore merged by the same rule with
-a heap inside the task; the result is the same.
+a heap inside the task, which gives the same ids.
 
 Decoding joins the pieces of the ids, held as hexadecimal digits, and turns the
 whole into bytes, in time linear in the text.
@@ -27,8 +27,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.common import bounded_arrow
 
-BUCKETS = 1 << 16
-NO_RANK = (1 << 31) - 1
+SLOTS = 1 << 17
+GROUPS = 32_749
+SPREAD = 1_640_531_527
+NO_RANK = 1 << 16
 LONG = 512
 MOST_WORDS = 300_000
 MOST_BYTES = 16 << 20
@@ -59,12 +61,45 @@ def java_pattern(pattern: str) -> str:
     return inside.replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one foldable array of buckets of (piece, rank)."""
-    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+def byte_ids(ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[bytes([b])] for b in range(256)]
+
+
+def _home(key):
+    """Slot of a pair before its displacement; on numbers and on columns."""
+    product = key * SPREAD
+    return F.shiftright(product, 20) % SLOTS if isinstance(key, Column) else (product >> 20) % SLOTS
+
+
+def pair_slots(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """A perfect hash of the pairs of pieces that make a piece: slots of ``pair * 2^16 + rank`` (-1: free), displacements.
+
+    A pair is ``left * 2^16 + right`` in ids. Groups of pairs take the first displacement that
+    puts all of them on free slots, large groups first.
+    """
+    groups: list[list[tuple[int, int]]] = [[] for _ in range(GROUPS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % BUCKETS].append({"piece": base64.b64encode(piece).decode(), "rank": rank})
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<piece:binary,rank:int>>>")
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                pair = left << 16 | right
+                groups[pair % GROUPS].append((_home(pair), pair << 16 | rank))
+    slots, moves = [-1] * SLOTS, [0] * GROUPS
+    for g in sorted(range(GROUPS), key=lambda g: -len(groups[g])):
+        homes = [h for h, _ in groups[g]]
+        if len(set(homes)) < len(homes):
+            raise ValueError("two pairs of a group share a home slot")
+        moves[g] = next(m for m in range(SLOTS) if all(slots[(h + m) % SLOTS] < 0 for h in homes))
+        for h, entry in groups[g]:
+            slots[(h + moves[g]) % SLOTS] = entry
+    return slots, moves
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map as one foldable struct: ids of the bytes, slots and displacements of the pairs."""
+    slots, moves = pair_slots(ranks)
+    text = json.dumps({"bytes": byte_ids(ranks), "slots": slots, "moves": moves}, separators=(",", ":"))
+    return F.from_json(F.lit(text), "struct<bytes:array<bigint>,slots:array<bigint>,moves:array<bigint>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -72,44 +107,41 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rank(table: Column, piece: Column) -> Column:
-    return _let(piece, lambda p: F.aggregate(
-        F.get(table, (F.crc32(p) % BUCKETS).cast("int")), F.lit(NO_RANK), lambda r, e: F.when(e.piece == p, e["rank"]).otherwise(r)))
+def _rank(table: Column, left: Column, right: Column) -> Column:
+    """Rank of a pair of ids; ``NO_RANK`` or more if it makes no piece, null without a right side.
+
+    The slot of another pair, or a free one, differs from the pair by too much or becomes
+    large without its sign.
+    """
+    pair = left * 65536 + right
+    slot = (_home(pair) + F.get(table.moves, (pair % GROUPS).cast("int"))) % SLOTS
+    return (F.get(table.slots, slot.cast("int")) - pair * 65536).bitwiseAND((1 << 63) - 1)
 
 
 def _merge(table: Column, state: Column) -> Column:
     """One merge: the leftmost pair of the lowest rank becomes one piece, its two neighbouring pairs are ranked anew."""
-    parts, ranks = state.parts, state.ranks
-
-    def at(k: Column) -> Column:
-        def merged(piece: Column) -> Column:
-            before, after = F.get(parts, k - 2), F.get(parts, k + 1)
-            return F.struct(
-                F.concat(F.slice(parts, 1, k - 1), F.array(piece), F.slice(parts, k + 2, F.size(parts))).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(_rank(table, F.concat(before, piece)))).otherwise(F.array().cast("array<int>")),
-                    F.when(k + 1 < F.size(parts), F.array(_rank(table, F.concat(piece, after)))).otherwise(F.array().cast("array<int>")),
-                    F.slice(ranks, k + 2, F.size(parts)),
-                ).alias("ranks"))
+    ids, ranks = state.ids, state["ranks"]
 
-        return _let(F.concat(F.get(parts, k - 1), F.get(parts, k)), merged)
+    def at(low: Column, k: Column) -> Column:  # k counts from 1: the pair's right piece has index k
+        joined = F.transform(ids, lambda x, i: F.when(i == k - 1, low).otherwise(x))
+        ranked = F.transform(ranks, lambda r, i: F.when(i == k - 1, _rank(table, low, F.get(ids, k + 1))).when(
+            i == k - 2, _rank(table, F.get(ids, i), low)).otherwise(r))
+        return F.struct(F.filter(joined, lambda _, i: i != k).alias("ids"), F.filter(ranked, lambda _, i: i != k).alias("ranks"))
 
-    return _let(F.array_min(ranks), lambda low: F.when(F.coalesce(low, F.lit(NO_RANK)) == NO_RANK, state).otherwise(
-        _let(F.array_position(ranks, low).cast("int"), at)))
+    return _let(F.array_min(ranks), lambda low: F.when(low < NO_RANK, _let(
+        F.array_position(ranks, low).cast("int"), lambda k: at(low, k))).otherwise(state))
 
 
 def encoded_word(table: Column, word: Column) -> Column:
-    """Ids of one word given as bytes; null for words over ``LONG`` bytes."""
-    def folded(n: Column) -> Column:
-        start = F.struct(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))).alias("parts"),
-            F.transform(F.sequence(F.lit(1), n - 1), lambda i: _rank(table, F.substring(word, i, F.lit(2)))).alias("ranks"))
-        end = F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda state, _: _merge(table, state))
-        return F.transform(end.parts, lambda p: _rank(table, p))
+    """Ids of one word given as an array of bytes.
+
+    The fold's state is the ids of the pieces and, for each, the rank of the pair that it opens.
+    """
+    def folded(ids: Column) -> Column:
+        start = F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: _rank(table, x, F.get(ids, i + 1))).alias("ranks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, lambda state, _: _merge(table, state), lambda state: state.ids)
 
-    return _let(_rank(table, word), lambda whole: F.when(whole != NO_RANK, F.array(whole)).when(
-        F.octet_length(word) <= LONG, folded(F.octet_length(word))))
+    return F.when(F.size(word) > 0, _let(F.transform(word, lambda b: F.get(table.bytes, b)), folded)).otherwise(F.array().cast("array<bigint>"))
 
 
 def merge_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
@@ -143,30 +175,52 @@ def merge_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return out
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per batch: ids and word counts of its documents, word numbers, and the words that are new to this task."""
-    numbers: dict[str, int] = {}
-    held = 0
-    for b in batches:
-        fresh_start = len(numbers) > MOST_WORDS or held > MOST_BYTES
-        if fresh_start:
-            numbers, held = {}, 0
-        words = b.column("words")
-        coded = words.flatten().dictionary_encode()
-        known = len(numbers)
-        listed = coded.dictionary.to_pylist()
-        own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in listed), np.int32, len(listed))
-        new = [w.encode() for w in list(numbers)[known:]] if len(numbers) > known else []
-        held += sum(map(len, new))
-        codes = own[np.asarray(coded.indices)] if listed else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())),
-            pa.array([np.diff(np.asarray(words.offsets)).astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([fresh_start]), pa.array([new], pa.list_(pa.binary())),
-        ], names=["ids", "counts", "codes", "restart", "new"])
-
-
-def _gathered(rank_file: str):
+def unreached(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """Pieces that the merges of their own bytes do not end in; a word equal to one is that one id."""
+    return {piece: rank for piece, rank in ranks.items() if merge_long(ranks, piece) != [rank]}
+
+
+def _numbered(apart: dict[bytes, int]):
+    """One row per batch: ids and word counts of its documents, word numbers, and the words that are new to this task.
+
+    Words over ``LONG`` bytes and those of ``apart`` are left empty in ``new`` and listed with their places.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        held = 0
+        for b in batches:
+            restart = len(numbers) > MOST_WORDS or held > MOST_BYTES
+            if restart:
+                numbers, held = {}, 0
+            words = b.column("words")
+            coded = words.flatten().dictionary_encode()
+            known = len(numbers)
+            listed = coded.dictionary.to_pylist()
+            own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in listed), np.int32, len(listed))
+            new = [w.encode() for w in islice(numbers, known, None)]
+            held += sum(map(len, new))
+            odd = [k for k, w in enumerate(new) if len(w) > LONG or w in apart]
+            aside = [new[k] for k in odd]
+            for k in odd:
+                new[k] = b""
+            sizes = np.cumsum([0, *map(len, new)])
+            arrays = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.frombuffer(b"".join(new), np.uint8).astype(np.int16)))
+            codes = own[np.asarray(coded.indices)] if listed else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([np.diff(np.asarray(words.offsets)).astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([restart]),
+                pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), arrays),
+                pa.array([odd], pa.list_(pa.int32())), pa.array([aside], pa.list_(pa.binary())),
+            ], names=["ids", "counts", "codes", "restart", "new", "odd", "aside"])
+
+    return run
+
+
+NUMBERED = "ids array<bigint>, counts array<int>, codes binary, restart boolean, new array<array<smallint>>, odd array<int>, aside array<binary>"
+
+
+def _gathered(rank_file: str, apart: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
         begin = size = flat = np.zeros(0, np.int64)
@@ -176,14 +230,15 @@ def _gathered(rank_file: str):
                 if b.column("restart")[0].as_py():
                     begin = size = flat = np.zeros(0, np.int64)
                 new = b.column("new_ids").flatten()
-                if new.null_count:
-                    ranks = ranks or read_ranks(rank_file)
-                    words = b.column("long").flatten()
-                    new = pa.array([x.as_py() if x.is_valid else merge_long(ranks, words[i].as_py()) for i, x in enumerate(new)], pa.list_(pa.int32()))
                 sizes = np.diff(np.asarray(new.offsets)).astype(np.int64)
-                begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
-                size = np.concatenate([size, sizes])
-                flat = np.concatenate([flat, np.asarray(new.flatten()).astype(np.int64)])
+                found = np.asarray(new.flatten()).astype(np.int64)
+                starts = len(flat) + np.cumsum(sizes) - sizes
+                for k, w in zip(b.column("odd")[0].as_py(), b.column("aside")[0].as_py()):
+                    ranks = ranks or read_ranks(rank_file)
+                    own = [apart[w]] if w in apart else merge_long(ranks, w)
+                    starts[k], sizes[k] = len(flat) + len(found), len(own)
+                    found = np.concatenate([found, own])
+                begin, size, flat = np.concatenate([begin, starts]), np.concatenate([size, sizes]), np.concatenate([flat, found])
                 codes = np.frombuffer(b.column("codes")[0].as_py(), "<i4")
                 ends = np.cumsum(np.asarray(b.column("counts").flatten()).astype(np.int64))
                 for lo, hi in _pieces(ends):
@@ -215,12 +270,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     words = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
-    numbered = words.mapInArrow(_numbered, "ids array<bigint>, counts array<int>, codes binary, restart boolean, new array<binary>")
-    table = rank_literal(read_ranks(rank_file))
-    folded = numbered.select(
-        "ids", "counts", "codes", "restart", F.when(F.exists("new", lambda w: F.octet_length(w) > LONG), F.col("new")).alias("long"),
-        _let(table, lambda t: F.transform("new", lambda w: encoded_word(t, w))).alias("new_ids"))
-    return folded.mapInArrow(_gathered(rank_file), "id bigint, ids array<int>").withColumnRenamed("id", id_col)
+    ranks = read_ranks(rank_file)
+    apart = unreached(ranks)
+    folded = words.mapInArrow(_numbered(apart), NUMBERED).select(
+        "ids", "counts", "codes", "restart", "odd", "aside",
+        _let(rank_literal(ranks), lambda t: F.transform("new", lambda w: encoded_word(t, w))).alias("new_ids"))
+    return folded.mapInArrow(_gathered(rank_file, apart), "id bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
