@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, spelling, topk_search, url_rules
+from weekloom.llm import byte_bpe, collocations, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, pseudonyms, spelling, topk_search, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,30 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+COLLOCATION_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS p FROM t)),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(m))),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30 OR m = 1),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+x AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r, (2000000 * x.a::HUGEINT) // (l.a + r.a) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.head
+      JOIN f AS r ON r.lang = x.lang AND r.phrase = x.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS d ON c.lang = d.lang AND d.m > c.m
+        AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * d.a::HUGEINT >= 80 * c.a),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN o USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
