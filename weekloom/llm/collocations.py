@@ -1,8 +1,8 @@
 """Phrase collocations by stripes.
 
 A stripe is the counter of the words that follow a prefix; a prefix has none to
-three words. A task forms the stripes of a chunk of documents over word numbers of
-its own, and sends them under (language, prefix, share), where a share holds the
+three words. The texts are cut into words and numbered once, in stored chunks of documents. A
+task forms the stripes of a chunk over these numbers, and sends them under (language, prefix, share), where a share holds the
 next words of one hash residue, so the stripe of a very common prefix is spread.
 Stripes of one key are merged element by element. A merged stripe gives the counts
 of the extended phrases, the total of its prefix (a null entry counts what is not
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import bounded_arrow, mixed
+from weekloom.llm.common import bounded_arrow, groups_of, mixed
 from weekloom.runtime import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,10 +49,12 @@ TOP = 2000
 UNKNOWN = "und"
 SCALE = 2_000_000
 SHARES = 16
-CHUNK_WORDS = 1 << 21
+WORD_SHARES = 4096  # of the empty prefix, which all words follow
+CHUNK_WORDS = 1 << 20
 ROWS = 4_096
 FILTER_BITS = 1 << 26
 SLOT_BITS = 1 << 16
+CODED = "dictionary array<string>, codes binary, langs array<string>, lang binary"
 STRIPES = "lang string, prefix string, share int, next array<string>, counts array<bigint>"
 MERGED = "lang string, prefix string, next string, a bigint, top bigint"
 
@@ -69,21 +71,17 @@ def _phrase_hashes(langs: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
 
 
 class Chunk:
-    """The words of some documents behind each other, with their language and the piece they belong to."""
+    """The words of some documents behind each other, with their language and the piece they belong to.
 
-    def __init__(self, langs: list[str], words: pa.Array, counts: np.ndarray):
-        coded = words.dictionary_encode()
-        listed = coded.dictionary.to_pylist()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        ends = np.fromiter((w[0] in ".,;:!?\n\x0b\x0c\r" for w in listed), bool, len(listed))[codes]
-        document = np.repeat(np.arange(len(counts)), counts)
-        piece = np.cumsum(ends) + document
-        self.dictionary, self.words, self.piece = coded.dictionary, codes[~ends], piece[~ends]
-        self.langs = sorted(set(langs))
-        number = {v: k for k, v in enumerate(self.langs)}
-        self.lang = np.fromiter((number[v] for v in langs), np.int64, len(langs))[document[~ends]]
-        self.hashes = _word_hashes(listed)
-        self.lang_hashes = _word_hashes(self.langs)
+    ``codes`` numbers the words of ``dictionary``; -1 stands at the end of a piece and of a document.
+    """
+
+    def __init__(self, dictionary: pa.Array, codes: np.ndarray, langs: list[str], lang: np.ndarray):
+        word = codes >= 0
+        self.dictionary, self.langs = dictionary, langs
+        self.words, self.piece, self.lang = codes[word].astype(np.int64), np.cumsum(~word)[word], lang[word].astype(np.int64)
+        self.hashes = _word_hashes(dictionary.to_pylist())
+        self.lang_hashes = _word_hashes(langs)
 
     def whole(self, length: int) -> np.ndarray:
         """Positions at which ``length`` words of one piece start."""
@@ -119,7 +117,7 @@ class Chunk:
         following = np.where(extended, self.words[np.minimum(at + length - 1, len(self.words) - 1)], v)
         entry, first, counts = np.unique(prefix * (v + 1) + following, return_index=True, return_counts=True)
         prefix, following, at = entry // (v + 1), entry % (v + 1), at[first]
-        share = np.append(self.hashes % np.uint64(SHARES), np.uint64(0)).astype(np.int64)[following]
+        share = np.append(self.hashes % np.uint64(SHARES if length > 1 else WORD_SHARES), np.uint64(0)).astype(np.int64)[following]
         order = np.lexsort((share, prefix))
         prefix, following, at, counts, share = (x[order] for x in (prefix, following, at, counts, share))
         starts = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (share[1:] != share[:-1])))
@@ -138,26 +136,49 @@ class Chunk:
             ], names=["lang", "prefix", "share", "next", "counts"])
 
 
-def _formed(length: int, bits: np.ndarray | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs: list[str] = []
-        words: list[pa.Array] = []
-        sizes: list[np.ndarray] = []
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of about ``CHUNK_WORDS`` words: its dictionary, word numbers, and the language of each."""
+    langs: list[str] = []
+    words: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
 
-        def chunk() -> Iterator[pa.RecordBatch]:
-            if langs:
-                yield from Chunk(langs, pa.concat_arrays(words), np.concatenate(sizes)).stripes(length, bits)
-            for x in (langs, words, sizes):
-                x.clear()
+    def chunk() -> Iterator[pa.RecordBatch]:
+        if not langs:
+            return
+        coded = pa.concat_arrays(words).dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        ends = np.fromiter((w[0] in ".,;:!?\n\x0b\x0c\r" for w in listed), bool, len(listed))
+        place = np.where(ends, -1, np.cumsum(~ends) - 1).astype("<i4")
+        counts = np.concatenate(sizes)
+        codes = np.insert(place[np.asarray(coded.indices)] if listed else np.zeros(0, "<i4"), np.cumsum(counts), -1)
+        names = sorted(set(langs))
+        number = {v: k for k, v in enumerate(names)}
+        lang = np.repeat(np.fromiter((number[v] for v in langs), "<i4", len(langs)), counts + 1)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([[w for w, e in zip(listed, ends.tolist()) if not e]], pa.list_(pa.string())), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+            pa.array([names], pa.list_(pa.string())), pa.array([lang.tobytes()], pa.binary())], names=["dictionary", "codes", "langs", "lang"])
+        for x in (langs, words, sizes):
+            x.clear()
 
-        for b in batches:
-            lists = b.column("words")
-            langs.extend(b.column("lang").to_pylist())
-            words.append(lists.flatten())
-            sizes.append(np.diff(np.asarray(lists.offsets)))
+    for b in batches:
+        lists = b.column("words")
+        for lo, hi in groups_of(np.diff(np.asarray(lists.offsets)).tolist(), CHUNK_WORDS):
+            part = lists[lo:hi]
+            langs.extend(b.column("lang")[lo:hi].to_pylist())
+            words.append(part.flatten())
+            sizes.append(np.diff(np.asarray(part.offsets)))
             if sum(map(len, words)) >= CHUNK_WORDS:
                 yield from chunk()
-        yield from chunk()
+    yield from chunk()
+
+
+def _formed(length: int, bits: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = b.slice(r, 1)
+                codes, lang = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("codes", "lang"))
+                yield from Chunk(row.column("dictionary").flatten(), codes, row.column("langs")[0].as_py(), lang).stripes(length, bits)
 
     return run
 
@@ -228,20 +249,26 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def merged_stripes(docs: DataFrame, length: int, bits: np.ndarray | None, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; rows without ``next`` hold a share's total and top."""
+def coded_chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The stored word numbers of all documents, one row per chunk."""
     lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
     words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.regexp_extract_all(lowered, F.lit(TOKENS), F.lit(0)).alias("words"))
-    formed = words.mapInArrow(_formed(length, bits), STRIPES)
+    return stored(words.mapInArrow(_coded, CODED), "coded")
+
+
+def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, least: int = LEAST) -> DataFrame:
+    """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; rows without ``next`` hold a share's total and top."""
+    formed = coded.mapInArrow(_formed(length, bits), STRIPES)
     return formed.repartition("lang", "prefix", "share").sortWithinPartitions("lang", "prefix", "share").mapInArrow(_merged(least), MERGED)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     bounded_arrow(docs.sparkSession, ROWS)
+    coded = coded_chunks(docs, lang_col, text_col)
     phrases, totals, bits = [], [], None
     for length in range(1, longest + 1):
-        stripes = stored(merged_stripes(docs, length, bits, least, lang_col, text_col), f"stripes{length}")
+        stripes = stored(merged_stripes(coded, length, bits, least), f"stripes{length}")
         own = stripes.filter("next IS NOT NULL").select("lang", "prefix", "next", F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next").alias("phrase"), "a", F.lit(length).alias("m"))
         phrases.append(own)
         totals.append(stripes.filter("next IS NULL").groupBy("lang", "prefix").agg(F.sum("a").alias("total"), F.max("top").alias("top")))
