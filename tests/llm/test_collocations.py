@@ -93,7 +93,7 @@ def test_chunks_of_a_task_add_up(monkeypatch):
         assert (len(chunks) > 5) == (chunk == 50)
         for b in collocations._formed(1, None)(iter(chunks)):
             for r in b.to_pylist():
-                for w, n in zip(r["next"], r["counts"]):
+                for w, n in zip(r["next"].split(" "), memoryview(r["counts"]).cast("i")):
                     out[w] += n
         return out
 

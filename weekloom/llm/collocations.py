@@ -50,12 +50,13 @@ UNKNOWN = "und"
 SCALE = 2_000_000
 SHARES = 16
 WORD_SHARES = 4096  # of the empty prefix, which all words follow
-CHUNK_WORDS = 1 << 20
-ROWS = 4_096
+CHUNK_WORDS = 1 << 19
+ROWS = 8_192
+BYTES = 4 << 20
 FILTER_BITS = 1 << 26
 SLOT_BITS = 1 << 16
 CODED = "dictionary array<string>, codes binary, langs array<string>, lang binary"
-STRIPES = "lang string, prefix string, share int, next array<string>, counts array<bigint>"
+STRIPES = "lang string, prefix string, share int, next string, counts binary"  # next words joined by spaces, 32-bit counts
 MERGED = "lang string, prefix string, next string, a bigint, top bigint"
 
 
@@ -125,14 +126,16 @@ class Chunk:
         text = pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(starts), pa.string())
         langs = pa.array(self.langs).take(pa.array(self.lang[at[starts]]))
         last = following == v
-        nexts = self.dictionary.take(pa.array(np.where(last, 0, following), mask=last))
+        nexts = pc.fill_null(self.dictionary.take(pa.array(np.where(last, 0, following), mask=last)), "")
+        counts = counts.astype("<i4")
         offsets = np.append(starts, len(following))
         for lo in range(0, len(starts), ROWS):
             hi = min(lo + ROWS, len(starts))
             inner, own = pa.array((offsets[lo: hi + 1] - offsets[lo]).astype(np.int32)), slice(offsets[lo], offsets[hi])
             yield pa.RecordBatch.from_arrays([
                 langs[lo:hi], text[lo:hi], pa.array(share[starts[lo:hi]].astype(np.int32)),
-                pa.ListArray.from_arrays(inner, nexts[own]), pa.ListArray.from_arrays(inner, pa.array(counts[own].astype(np.int64))),
+                pc.binary_join(pa.ListArray.from_arrays(inner, nexts[own]), " "),
+                pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((np.asarray(inner) * 4).astype(np.int32)), pa.py_buffer(counts[own].tobytes())]),
             ], names=["lang", "prefix", "share", "next", "counts"])
 
 
@@ -184,35 +187,32 @@ def _formed(length: int, bits: np.ndarray | None):
 
 
 def _merged(least: int):
-    """Stripes of one key are neighbours: their counters are added up, and each key is closed with its total."""
-    keys = ["lang", "prefix", "share"]
+    """Stripes of one key are neighbours by the key's hash: their counters are added up, and each key is closed with its total."""
+    keys = ["h", "lang", "prefix"]
 
     def closed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        word = pc.is_valid(t["next"])
+        word = pc.not_equal(t["next"], "")
         tops = t.append_column("top", pc.if_else(word, t["a"], 0)).group_by(keys).aggregate([("a", "sum"), ("top", "max")])
         yield from tops.select(["lang", "prefix"]).append_column("next", pa.nulls(len(tops), pa.string())).append_column("a", tops["a_sum"]).append_column(
             "top", tops["top_max"]).to_batches(max_chunksize=ROWS)
         many = t.filter(pc.and_(word, pc.greater_equal(t["a"], least)))
         yield from many.select(["lang", "prefix", "next", "a"]).append_column("top", pa.nulls(len(many), pa.int64())).to_batches(max_chunksize=ROWS)
 
-    def added(t: pa.Table) -> pa.Table:
-        return t.group_by([*keys, "next"]).aggregate([("a", "sum")]).rename_columns([*keys, "next", "a"]).select([*keys, "next", "a"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b.column("next")
-            rows = pa.array(np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets))))
-            t = pa.table([*[b.column(k).take(rows) for k in keys], lists.flatten(), b.column("counts").flatten()], names=[*keys, "next", "a"])
-            last = [b.column(k)[b.num_rows - 1] for k in keys]
+            lists = pc.split_pattern(b.column("next"), " ")
+            counts = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<i4").astype(np.int64)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(lists)))
+            t = pa.table([*[b.column(k).take(rows) for k in keys], lists.flatten(), pa.array(counts)], names=[*keys, "next", "a"])
             if held is not None:
                 t = pa.concat_tables([held, t])
-            t = added(t)
-            open_key = pc.and_(pc.and_(pc.equal(t["lang"], last[0]), pc.equal(t["prefix"], last[1])), pc.equal(t["share"], last[2]))
-            held = t.filter(open_key)
-            yield from closed(t.filter(pc.invert(open_key)))
+            t = t.group_by([*keys, "next"]).aggregate([("a", "sum")]).rename_columns([*keys, "next", "a"])
+            last = pc.equal(t["h"], b.column("h")[b.num_rows - 1])
+            held = t.filter(last)
+            yield from closed(t.filter(pc.invert(last)))
         if held is not None:
             yield from closed(held)
 
@@ -259,12 +259,13 @@ def coded_chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, least: int = LEAST) -> DataFrame:
     """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; rows without ``next`` hold a share's total and top."""
     formed = coded.mapInArrow(_formed(length, bits), STRIPES)
-    return formed.repartition("lang", "prefix", "share").sortWithinPartitions("lang", "prefix", "share").mapInArrow(_merged(least), MERGED)
+    keyed = formed.select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
+    return keyed.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(least), MERGED)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
-    bounded_arrow(docs.sparkSession, ROWS)
+    bounded_arrow(docs.sparkSession, ROWS, BYTES)
     coded = coded_chunks(docs, lang_col, text_col)
     phrases, totals, bits = [], [], None
     for length in range(1, longest + 1):

@@ -16,10 +16,10 @@ SALTS = 8
 MOST = (1 << 32) - 1
 
 
-def bounded_arrow(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_arrow(spark: SparkSession, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches that go to Python by rows and bytes, as one text may be megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def groups_of(sizes: list[int], most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
