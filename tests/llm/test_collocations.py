@@ -2,11 +2,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.rows import awkward, empty
 from weekloom.llm import collocations
 
+NONE = np.zeros(0, np.uint64)
 LOWERED = str.maketrans(collocations.UPPER, collocations.LOWER)
 
 
@@ -71,8 +74,12 @@ def test_limits_and_hot_prefix(spark):
     rows = [("en", f"hot w{i % 700} hot w{i % 11}") for i in range(4000)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(9)
     checked(docs, least=5, top=40)
-    shares = collocations.merged_stripes(collocations.coded_chunks(docs), 1, None, 1).filter("next IS NULL").count()
-    assert shares > 500  # of the one empty prefix
+    coded = collocations.coded_chunks(docs)
+    hot = collocations._phrase_hashes(collocations._word_hashes(["en"]), [collocations._word_hashes(["hot"])])
+    every = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
+    for length, keys in ((1, NONE), (2, hot)):
+        formed = coded.mapInArrow(collocations._formed(length, every if length > 1 else None, keys), collocations.STRIPES)
+        assert formed.filter(F.col("prefix") == ("" if length == 1 else "hot")).select("share").distinct().count() > 300
 
 
 def test_awkward_rows(spark):
@@ -91,7 +98,7 @@ def test_chunks_of_a_task_add_up(monkeypatch):
         out = Counter()
         chunks = list(collocations._coded(iter(table.to_batches(max_chunksize=5))))
         assert (len(chunks) > 5) == (chunk == 50)
-        for b in collocations._formed(1, None)(iter(chunks)):
+        for b in collocations._formed(1, None, NONE)(iter(chunks)):
             for r in b.to_pylist():
                 for w, n in zip(r["next"].split(" "), memoryview(r["counts"]).cast("i")):
                     out[w] += n

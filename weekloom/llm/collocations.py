@@ -48,8 +48,8 @@ LEAST = 30
 TOP = 2000
 UNKNOWN = "und"
 SCALE = 2_000_000
-SHARES = 16
-WORD_SHARES = 4096  # of the empty prefix, which all words follow
+SHARES = 1024  # of the empty prefix, which all words follow, and of hot phrases
+HOT = 1024  # a phrase is hot from one position in so many on
 CHUNK_WORDS = 1 << 19
 ROWS = 8_192
 BYTES = 4 << 20
@@ -57,7 +57,7 @@ FILTER_BITS = 1 << 26
 SLOT_BITS = 1 << 16
 CODED = "dictionary array<string>, codes binary, langs array<string>, lang binary"
 STRIPES = "lang string, prefix string, share int, next string, counts binary"  # next words joined by spaces, 32-bit counts
-MERGED = "lang string, prefix string, next string, a bigint, top bigint"
+MERGED = "lang string, prefix string, next string, a bigint"
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -68,7 +68,7 @@ def _phrase_hashes(langs: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     h = langs
     for p in parts:
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + p)
-    return h & np.uint64(FILTER_BITS - 1)
+    return h
 
 
 class Chunk:
@@ -89,53 +89,48 @@ class Chunk:
         n = len(self.words) - length + 1
         return np.flatnonzero(self.piece[:max(n, 0)] == self.piece[length - 1:]) if n > 0 else np.zeros(0, np.int64)
 
+    def phrases(self, at: np.ndarray, length: int) -> np.ndarray:
+        return _phrase_hashes(self.lang_hashes[self.lang[at]], [self.hashes[self.words[at + k]] for k in range(length)])
+
     def frequent(self, length: int, bits: np.ndarray) -> np.ndarray:
         """For every position: may the phrase of ``length`` words here be frequent?"""
         at = self.whole(length)
-        h = _phrase_hashes(self.lang_hashes[self.lang[at]], [self.hashes[self.words[at + k]] for k in range(length)])
+        h = self.phrases(at, length) & np.uint64(FILTER_BITS - 1)
         out = np.zeros(len(self.words) + 1, bool)
         out[at] = (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
-    def stripes(self, length: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """Stripes of the prefixes of ``length - 1`` words."""
-        if not len(self.words):
-            return
-        if length == 1:
-            at, extended = np.arange(len(self.words)), np.ones(len(self.words), bool)
-        else:
+    def stripes(self, length: int, bits: np.ndarray | None, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Stripes of the prefixes of ``length - 1`` words; those of ``hot`` phrases in shares."""
+        at = np.arange(len(self.words))
+        if length > 1:
             passes = self.frequent(length - 1, bits)
-            at = np.flatnonzero(passes[:-1])
-            extended = passes[at + 1]
-            extended[at + length - 1 >= len(self.words)] = False
-            extended[extended] = self.piece[at[extended]] == self.piece[at[extended] + length - 1]
+            at = self.whole(length)
+            at = at[passes[at] & passes[at + 1]]
         if not len(at):
             return
         v = len(self.dictionary)
         prefix = self.lang[at]
         for k in range(length - 1):
             prefix = np.unique(prefix * v + self.words[at + k], return_inverse=True)[1]
-        following = np.where(extended, self.words[np.minimum(at + length - 1, len(self.words) - 1)], v)
-        entry, first, counts = np.unique(prefix * (v + 1) + following, return_index=True, return_counts=True)
-        prefix, following, at = entry // (v + 1), entry % (v + 1), at[first]
-        share = np.append(self.hashes % np.uint64(SHARES if length > 1 else WORD_SHARES), np.uint64(0)).astype(np.int64)[following]
+        entry, first, counts = np.unique(prefix * v + self.words[at + length - 1], return_index=True, return_counts=True)
+        prefix, following, at = entry // v, entry % v, at[first]
+        spread = np.isin(self.phrases(at, length - 1), hot) if length > 1 else True
+        share = np.where(spread, (self.hashes % np.uint64(SHARES)).astype(np.int64)[following], 0)
         order = np.lexsort((share, prefix))
-        prefix, following, at, counts, share = (x[order] for x in (prefix, following, at, counts, share))
+        prefix, following, at, counts, share = (x[order] for x in (prefix, following, at, counts.astype("<i4"), share))
         starts = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (share[1:] != share[:-1])))
         names = [self.dictionary.take(pa.array(self.words[at[starts] + k])) for k in range(length - 1)]
         text = pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(starts), pa.string())
         langs = pa.array(self.langs).take(pa.array(self.lang[at[starts]]))
-        last = following == v
-        nexts = pc.fill_null(self.dictionary.take(pa.array(np.where(last, 0, following), mask=last)), "")
-        counts = counts.astype("<i4")
+        nexts = self.dictionary.take(pa.array(following))
         offsets = np.append(starts, len(following))
         for lo in range(0, len(starts), ROWS):
             hi = min(lo + ROWS, len(starts))
-            inner, own = pa.array((offsets[lo: hi + 1] - offsets[lo]).astype(np.int32)), slice(offsets[lo], offsets[hi])
+            inner, own = (offsets[lo: hi + 1] - offsets[lo]).astype(np.int32), slice(offsets[lo], offsets[hi])
             yield pa.RecordBatch.from_arrays([
-                langs[lo:hi], text[lo:hi], pa.array(share[starts[lo:hi]].astype(np.int32)),
-                pc.binary_join(pa.ListArray.from_arrays(inner, nexts[own]), " "),
-                pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((np.asarray(inner) * 4).astype(np.int32)), pa.py_buffer(counts[own].tobytes())]),
+                langs[lo:hi], text[lo:hi], pa.array(share[starts[lo:hi]].astype(np.int32)), pc.binary_join(pa.ListArray.from_arrays(pa.array(inner), nexts[own]), " "),
+                pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(inner * np.int32(4)), pa.py_buffer(counts[own].tobytes())]),
             ], names=["lang", "prefix", "share", "next", "counts"])
 
 
@@ -175,13 +170,13 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from chunk()
 
 
-def _formed(length: int, bits: np.ndarray | None):
+def _formed(length: int, bits: np.ndarray | None, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 row = b.slice(r, 1)
                 codes, lang = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("codes", "lang"))
-                yield from Chunk(row.column("dictionary").flatten(), codes, row.column("langs")[0].as_py(), lang).stripes(length, bits)
+                yield from Chunk(row.column("dictionary").flatten(), codes, row.column("langs")[0].as_py(), lang).stripes(length, bits, hot)
 
     return run
 
@@ -191,12 +186,9 @@ def _merged(least: int):
     keys = ["h", "lang", "prefix"]
 
     def closed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        word = pc.not_equal(t["next"], "")
-        tops = t.append_column("top", pc.if_else(word, t["a"], 0)).group_by(keys).aggregate([("a", "sum"), ("top", "max")])
-        yield from tops.select(["lang", "prefix"]).append_column("next", pa.nulls(len(tops), pa.string())).append_column("a", tops["a_sum"]).append_column(
-            "top", tops["top_max"]).to_batches(max_chunksize=ROWS)
-        many = t.filter(pc.and_(word, pc.greater_equal(t["a"], least)))
-        yield from many.select(["lang", "prefix", "next", "a"]).append_column("top", pa.nulls(len(many), pa.int64())).to_batches(max_chunksize=ROWS)
+        total = t.filter(pc.equal(t["prefix"], "")).group_by(["lang", "prefix"]).aggregate([("a", "sum")])
+        yield from total.select(["lang", "prefix"]).append_column("next", pa.nulls(len(total), pa.string())).append_column("a", total["a_sum"]).to_batches()
+        yield from t.filter(pc.greater_equal(t["a"], least)).select(["lang", "prefix", "next", "a"]).to_batches(max_chunksize=ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -225,7 +217,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("phrase").to_pylist()
         parts = [t.split(" ") for t in texts]
         h = _phrase_hashes(_word_hashes(b.column("lang").to_pylist()), [_word_hashes([p[k] for p in parts]) for k in range(len(parts[0]) if parts else 0)])
-        h = np.unique(h)
+        h = np.unique(h & np.uint64(FILTER_BITS - 1))
         slots, starts = np.unique(h // np.uint64(SLOT_BITS), return_index=True)
         places = np.split((h % np.uint64(SLOT_BITS)).astype("<u2"), starts[1:])
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array([p.tobytes() for p in places], pa.binary())], names=["slot", "places"])
@@ -256,10 +248,16 @@ def coded_chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return stored(words.mapInArrow(_coded, CODED), "coded")
 
 
-def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, least: int = LEAST) -> DataFrame:
-    """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; rows without ``next`` hold a share's total and top."""
-    formed = coded.mapInArrow(_formed(length, bits), STRIPES)
-    keyed = formed.select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
+def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the phrases that open at least one position in ``HOT``: at most so many, whatever the corpus."""
+    rows = phrases.filter(F.col("a") * HOT >= words).select("lang", "phrase").collect()
+    parts = [r.phrase.split(" ") for r in rows]
+    return _phrase_hashes(_word_hashes([r.lang for r in rows]), [_word_hashes([p[k] for p in parts]) for k in range(len(parts[0]) if parts else 0)])
+
+
+def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, hot: np.ndarray, least: int = LEAST) -> DataFrame:
+    """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; without ``next`` shares of the empty prefix's total."""
+    keyed = coded.mapInArrow(_formed(length, bits, hot), STRIPES).select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
     return keyed.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(least), MERGED)
 
 
@@ -267,14 +265,16 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     bounded_arrow(docs.sparkSession, ROWS, BYTES)
     coded = coded_chunks(docs, lang_col, text_col)
-    phrases, totals, bits = [], [], None
+    phrases, bits, hot = [], None, np.zeros(0, np.uint64)
     for length in range(1, longest + 1):
-        stripes = stored(merged_stripes(coded, length, bits, least), f"stripes{length}")
-        own = stripes.filter("next IS NOT NULL").select("lang", "prefix", "next", F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next").alias("phrase"), "a", F.lit(length).alias("m"))
+        stripes = stored(merged_stripes(coded, length, bits, hot, least), f"stripes{length}")
+        if length == 1:
+            totals = stored(stripes.filter("next IS NULL").groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+            words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        own = stripes.filter("next IS NOT NULL").select("lang", "prefix", F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next").alias("phrase"), "a", F.lit(length).alias("m"))
         phrases.append(own)
-        totals.append(stripes.filter("next IS NULL").groupBy("lang", "prefix").agg(F.sum("a").alias("total"), F.max("top").alias("top")))
         if length < longest:
-            bits = phrase_filter(own)
+            bits, hot = phrase_filter(own), hot_phrases(own, words)
 
     def all_of(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -283,20 +283,17 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
         return out
 
     counts = all_of(phrases).select("lang", "phrase", "a")
-    longer = all_of(phrases[1:]).join(all_of(totals[1:]), ["lang", "prefix"]).select("lang", "phrase", "a", "m", "total")
-    parts = longer.select("lang", "phrase", "a", "m", "total", F.split("phrase", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "m", "total", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("head"),
+    longer = all_of(phrases[1:])
+    parts = longer.select("lang", "phrase", "a", "m", F.split("phrase", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
+        "lang", "phrase", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("head"),
         F.array_join(F.slice("w", F.col("k") + 1, F.col("m") - F.col("k")), " ").alias("rest"))
     rest = counts.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
     head = counts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l"))
-    cut = parts.join(rest, ["lang", "rest"])
-    halves = cut.filter("k = m - 1").withColumn("l", F.col("total")).select("lang", "phrase", "a", "k", "l", "r").union(
-        cut.filter("k < m - 1").join(head, ["lang", "head"]).select("lang", "phrase", "a", "k", "l", "r"))
+    halves = parts.join(rest, ["lang", "rest"]).join(head, ["lang", "head"])
     scored = halves.select("lang", "phrase", "a", F.struct(F.expr(f"(CAST(a AS DECIMAL(20, 0)) * {SCALE}) DIV (CAST(l AS DECIMAL(20, 0)) + r)").alias("score"), "k", "l", "r").alias("cut"))
     lowest = scored.groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min("cut").alias("cut"))
-    # a longer phrase contains the prefix of its stripe and what follows its first word
-    above = all_of(totals[2:]).filter(F.col("top") >= least).select("lang", F.col("prefix").alias("phrase"), F.col("top").alias("inside")).union(
-        all_of(phrases[2:]).select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)"), "a"))
+    # a stripe's largest extension contains the prefix, and each extension what follows its first word
+    above = all_of(phrases[2:]).select("lang", F.explode(F.array(F.col("prefix"), F.expr("substring(phrase, instr(phrase, ' ') + 1)"))).alias("phrase"), F.col("a").alias("inside"))
     inside = above.groupBy("lang", "phrase").agg(F.max("inside").alias("inside"))
     left = lowest.join(inside, ["lang", "phrase"], "left").filter(
         "inside IS NULL OR CAST(inside AS DECIMAL(20, 0)) * 100 < CAST(a AS DECIMAL(20, 0)) * 80").select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r")
@@ -304,5 +301,5 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
     first = left.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top).withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    return first.join(totals[0].select("lang", F.col("total").alias("n")), "lang").select(
+    return first.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
