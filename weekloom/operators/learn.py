@@ -8,37 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
 )
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.numbers import floor_zero
-from weekloom.operators.rank import exact_quantiles
 from weekloom.operators.tidy import align_columns
 
 SEED = 42
 
-# Named parameter sets of the boosted learner.
-CONFIGS: dict[str, dict] = {
-    "shallow": {"maxDepth": 3, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "deep": {"maxDepth": 5, "maxIter": 12, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "slow": {"maxDepth": 4, "maxIter": 16, "stepSize": 0.05, "subsamplingRate": 0.7},
-}
-
-# Overrides of the default set per disease.
-DISEASE_OVERRIDES: dict[str, dict] = {
-    "leptospirosis": {"maxDepth": 4},
-    "typhus": {"maxDepth": 3, "stepSize": 0.08},
-    "hepatitis_a": {"maxDepth": 3, "stepSize": 0.05},
-    "chickenpox": {"maxDepth": 4, "subsamplingRate": 0.7},
-}
-
-
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Feature columns (absent ones and NULLs as 0) to one vector; the names stay in its ML attributes."""
     table = align_columns(df, features, keep)
@@ -69,13 +51,6 @@ def fit_once(estimator, rows: DataFrame):
     return model
 
 
-def forest(train: DataFrame, trees: int = 20, depth: int = 6, weight: str | None = None):
-    """Bagged trees as the second, independent learner of the blend."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol="target", predictionCol="p", numTrees=trees, maxDepth=depth,
-                               minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=SEED)
-    return fit_once(rf.setWeightCol(weight) if weight else rf, train)
-
-
 def ridge(train: DataFrame, alpha: float = 1.0):
     """L2 linear baseline. The penalty of the summed loss is divided by the row count for the mean loss."""
     n = train.count()
@@ -98,25 +73,6 @@ def scored(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", floor_zero("p"))
 
 
-def leaf_quantiles(model, train: DataFrame, df: DataFrame, probs: Mapping[str, float]) -> DataFrame:
-    """Quantile regression forest: train quantiles of each (tree, leaf), averaged over the trees of a row.
-
-    The leaf table has at most trees x leaves rows. It is used as one constant map, so
-    scoring neither explodes nor shuffles the rows.
-    """
-    model = model.setLeafCol("leaf")
-    leaves = lambda d: model.transform(d).withColumn("leaf", F.transform(vector_to_array("leaf"), lambda x: x.cast("int")))
-    cells = leaves(train).select("target", F.posexplode("leaf").alias("tree", "leaf"))
-    table = exact_quantiles(cells, ["tree", "leaf"], "target", dict(probs))
-    key = lambda t, leaf: F.concat_ws("/", t.cast("string"), leaf.cast("string"))
-    entry = F.struct(key(F.col("tree"), F.col("leaf")).alias("k"), F.struct(*probs).alias("v"))
-    out = leaves(df).withColumn("_table", table.agg(F.map_from_entries(F.collect_list(entry))).scalar())
-    hits = F.filter(F.transform("leaf", lambda x, i: F.try_element_at(F.col("_table"), key(i, x))), lambda v: v.isNotNull())
-    out = out.withColumn("_hits", hits)
-    mean = lambda q: F.aggregate("_hits", F.lit(0.0), lambda a, v: a + v.getField(q)) / F.size("_hits")
-    return out.withColumns({q: mean(q) for q in probs}).drop("_table", "_hits", "leaf")
-
-
 def residual_interval(df: DataFrame, by: Sequence[str] = ("disease", "district"), y: str = "target", p: str = "p",
                       low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Forecast plus the val residual quantiles of its series (at most one row per week each)."""
@@ -164,53 +120,16 @@ def mean_std_fallback(df: DataFrame, by: Sequence[str] = ("disease",), z: float
     )
 
 
-def learning_curve(model, df: DataFrame, loss: str = "absolute") -> DataFrame:
-    """(split, round, value, best) of a boosted model; the values are one number per round."""
-    rows = []
-    for s in ("train", "val", "test"):
-        part = df.filter(F.col("split") == s).persist()
-        values = model.evaluateEachIteration(part, loss)
-        part.unpersist()
-        rows += [(s, i + 1, float(x)) for i, x in enumerate(values)]
-    out = df.sparkSession.createDataFrame(rows, "split string, round int, value double")
-    best = F.min(F.struct("value", "round")).over(Window.partitionBy("split"))
-    return out.withColumn("best", best.getField("round") == F.col("round"))
-
-
-def tree_importance(model, spark, features: Sequence[str]) -> DataFrame:
-    gains = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], "feature string, gain double")
-
-
-def top_features(importance: DataFrame, drop: float, at_least: int = 10) -> list[str]:
-    """Names of the features kept by importance: a list as long as the feature list at most."""
-    n = importance.count()
-    keep = max(at_least, int((1.0 - drop) * n))
-    return [r[0] for r in importance.orderBy(F.desc("gain"), "feature").limit(keep).collect()]
-
-
-def r2_of(model, df: DataFrame) -> float:
-    return RegressionEvaluator(labelCol="target", predictionCol="p", metricName="r2").evaluate(scored(model, df))
-
-
-def config_search(df: DataFrame, configs: Mapping[str, dict] = CONFIGS) -> DataFrame:
-    """Fit every named set on train, rate it on val, report test as well; the best val R2 is marked."""
-    rows = []
-    for name, params in configs.items():
-        model = boosted(df, **params)
-        rows.append((name, r2_of(model, df.filter("split = 'val'")), r2_of(model, df.filter("split = 'test'")), model.getNumTrees))
-    out = df.sparkSession.createDataFrame(rows, "config string, r2_val double, r2_test double, trees int")
-    return out.withColumn("best", F.col("config") == F.lit(max(rows, key=lambda r: r[1])[0]))
-
-
-def per_disease(df: DataFrame, overrides: Mapping[str, dict] = DISEASE_OVERRIDES) -> DataFrame:
-    """One fit per configured disease over its slice of the stored table; predictions of the held-out rows."""
-    parts = []
-    for disease, params in overrides.items():
-        rows = df.filter(F.col("disease") == disease)
-        model = boosted(rows, **{"maxIter": 12, **params})
-        parts.append(scored(model, rows.filter("split <> 'train'")).select("disease", "district", "week_start", "split", "target", "p"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+def top_places(gains: Sequence[float], features: Sequence[str], drop: float, at_least: int = 10) -> list[int]:
+    """Places of the features kept by importance, best first; ties by name."""
+    keep = max(at_least, int((1.0 - drop) * len(features)))
+    return sorted(range(len(features)), key=lambda i: (-gains[i], features[i]))[:keep]
+
+
+def sliced(df: DataFrame, places: Mapping[str, Sequence[int]], by: str = "disease") -> DataFrame:
+    """The feature vector reduced to the places of the row's group."""
+    x = vector_to_array("features")
+    picked = F.lit(None).cast("array<double>")
+    for group, own in places.items():
+        picked = F.when(F.col(by) == group, F.transform(F.array(*[F.lit(int(i)) for i in own]), lambda i: F.get(x, i))).otherwise(picked)
+    return df.withColumn("features", array_to_vector(picked))

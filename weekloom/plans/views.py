@@ -6,15 +6,21 @@ climate and events the sub-daily readings.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from weekloom.constants import DISEASES
-from weekloom.operators import features, weekly
+from weekloom.constants import DISEASES, MODEL_FEATURES
+from weekloom.operators import ensemble, features, learn, weekly
 from weekloom.operators.rank import order_codes
-from weekloom.runtime import small_side, stored
+from weekloom.runtime import shared_root, small_side, stored
+from weekloom.sources.models import ModelStore
+
+MODEL_KEYS = ["disease", "district", "week_start"]
 
 PRIORITY_DISEASE = {
     "1-URGENT": "leptospirosis", "2-HIGH": "typhus", "3-MEDIUM": "hepatitis_a", "5-LOW": "chickenpox",
@@ -157,6 +163,42 @@ class PanelViews:
     def kept_forecasts(self) -> DataFrame:
         return stored(self.forecasts, "forecasts")
 
+    @cached_property
+    def model_table(self) -> DataFrame:
+        """All model features as one vector, written once beside the models."""
+        return self._beside("table", lambda: learn.assemble(self.features, MODEL_FEATURES, [*MODEL_KEYS, "split", "target"]))
+
+    def _beside(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self.store.path}/{name}"
+        try:  # a table without committed files has no schema and is written again
+            return self.spark.read.parquet(path)
+        except AnalysisException:
+            make().write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+
+    @cached_property
+    def store(self) -> ModelStore:
+        """The application's model store of this folder: what one query has fitted, later ones load.
+
+        It holds for the folder as it was when the application first used it.
+        """
+        name = hashlib.sha1(f"{self.spark.sparkContext.applicationId}|{self.folder}".encode()).hexdigest()[:16]
+        return ModelStore(self.spark, f"{shared_root(self.spark)}/store-{name}")
+
+    def learned(self, *parts: str) -> ModelStore:
+        """The store with these learners of every disease in it; the table is only read if one is missing."""
+        have = self.store.listed()
+        if any((d, p) not in have for d in ensemble.SETTINGS for p in parts):
+            ensemble.fit_all(self.model_table, MODEL_FEATURES, self.store, parts)
+        return self.store
+
+    @cached_property
+    def blended(self) -> DataFrame:
+        """Held-out rows of the ensemble: both learners, their intervals, blend, area bias."""
+        keep = [*MODEL_KEYS, "split", "target"]
+        store = self.learned(*ensemble.LEARNERS)
+        return ensemble.blended(self._beside("intervals", lambda: ensemble.learner_intervals(self.model_table, store, MODEL_KEYS, keep)))
+
     @cached_property
     def readings(self) -> DataFrame:
         """Sub-daily readings per district, one row per event."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weekloom.constants import MODEL_FEATURES, WEEKLY_CLIMATE
-from weekloom.operators import blend, explain, learn, weekly
-from weekloom.operators.drift import inverse_root_weights
+from weekloom.operators import blend, ensemble, explain, learn, weekly
 from weekloom.operators.joins import keep_last
 from weekloom.plans import serving
 from weekloom.registry.base import out, query, show
@@ -17,11 +17,7 @@ from weekloom.streaming import weekly as stream
 KEY = ["disease", "district", "week_start"]
 KEEP = [*KEY, "split", "target"]
 FEATURES = list(MODEL_FEATURES)
-CHOSEN = ["target_lag_1", "target_roll_mean_4", "target_roll_mean_12", "district_week_mean", "late_dist_mean", "T2M_avg", "RH2M_avg", "PRECTOTCORR_avg"]
-
-
-def _table(v):
-    return learn.assemble(v.kept_features, FEATURES, KEEP)
+PAIRS = 2  # antithetic pairs of feature orders per explained row
 
 
 # ---- blending ----------------------------------------------------------------------------------
@@ -93,6 +89,22 @@ def mean_std_fallback(v):
     return show(learn.mean_std_fallback(v.kept_series), KEY, ["p", "lower", "upper"])
 
 
+def _contributions(v, disease=None, district=None, week=None):
+    """Contributions of a week's forecasts (by default the newest) of all or one disease and area."""
+    store, table = v.learned("boosted"), v.model_table
+    day = F.to_date(F.lit(week)) if week else table.agg(F.max("week_start")).scalar()
+    rows = table.filter(F.col("week_start") == day)
+    if district:
+        rows = rows.filter(F.col("district") == district)
+    out = None
+    for name in [disease] if disease else sorted(ensemble.SETTINGS):
+        own = F.col("disease") == name
+        reference = explain.background(table.filter(own).filter("split = 'train'"), PAIRS)
+        part = explain.shapley(store.load(name, "boosted"), rows.filter(own), reference, FEATURES, KEY, PAIRS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- learners ----------------------------------------------------------------------------------
 
 @query("assemble", view("features", "SELECT disease, district, week_start, CAST(80 AS INTEGER) AS width, round("
@@ -105,106 +117,115 @@ def assemble(v):
     return df.select(*KEY, F.size(x).alias("width"), F.round(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
-def _held_out(model, table):
-    return show(learn.scored(model, learn.splits_of(table)[1]), KEEP, ["p"])
+def _held_out(v, fit):
+    """Held-out predictions of ``fit(rows, disease)`` per disease."""
+    models = ensemble.fit_each(v.model_table, fit)
+    return show(ensemble.scored_each(v.model_table.filter("split <> 'train'"), models, KEEP), KEEP, ["p"])
 
 
 @query("boosted_point")
 def boosted_point(v):
-    table = _table(v)
-    weights = inverse_root_weights(table.filter("split = 'train'")).select(*KEEP, "features", "weight")
-    rest = table.filter("split <> 'train'").withColumn("weight", F.lit(1.0))
-    return _held_out(learn.boosted(weights.unionByName(rest), "weight"), table)
+    return show(ensemble.predicted(v.model_table.filter("split <> 'train'"), v.learned("boosted"), "boosted", KEEP), KEEP, ["p"])
 
 
 @query("second_learner")
 def second_learner(v):
-    table = _table(v)
-    return _held_out(learn.forest(learn.splits_of(table)[0]), table)
+    return show(ensemble.predicted(v.model_table.filter("split <> 'train'"), v.learned("forest"), "forest", KEEP), KEEP, ["p"])
 
 
 @query("quantile_leaf")
 def quantile_leaf(v):
-    table = _table(v)
-    train, rest = learn.splits_of(table)
-    model = learn.forest(train, trees=10, depth=5)
-    df = learn.leaf_quantiles(model, train, rest, {"lower": 0.05, "median": 0.5, "upper": 0.95})
-    return show(df, KEEP, ["lower", "median", "upper"])
+    quantiles = ensemble.forest_intervals(v.model_table, v.learned("forest"), KEY, {"lower": 0.05, "median": 0.5, "upper": 0.95})
+    rows = v.model_table.filter("split <> 'train'").select(*KEEP)
+    return show(rows.join(quantiles, KEY, "left"), KEEP, ["lower", "median", "upper"])
 
 
 @query("ridge_baseline")
 def ridge_baseline(v):
-    table = _table(v)
-    return _held_out(learn.ridge(learn.splits_of(table)[0]), table)
+    return _held_out(v, lambda rows, _: learn.ridge(rows.filter("split = 'train'")))
 
 
 @query("tree_baseline")
 def tree_baseline(v):
-    table = _table(v)
-    return _held_out(learn.tree(learn.splits_of(table)[0]), table)
+    return _held_out(v, lambda rows, _: learn.tree(rows.filter("split = 'train'")))
 
 
 @query("poisson_model")
 def poisson_model(v):
-    table = learn.assemble(v.kept_features, CHOSEN, KEEP)
-    return _held_out(learn.poisson(learn.splits_of(table)[0]), table)
+    return _held_out(v, lambda rows, _: learn.poisson(rows.filter("split = 'train'")))
 
 
 @query("learning_curve")
 def learning_curve(v):
-    table = _table(v)
-    return show(learn.learning_curve(learn.boosted(table, early_stop=False, maxIter=10), table), ["split", "round", "best"], ["value"])
+    """Every round that was tried, both learners, with the lowest error and the round that is served."""
+    store = v.learned(*ensemble.LEARNERS)
+    curves = [ensemble.staged_errors(v.model_table, store, p, KEY) for p in ensemble.LEARNERS]
+    return show(curves[0].unionByName(curves[1]), ["disease", "learner", "split", "round", "best", "stop"], ["mae", "rmse"])
 
 
 @query("tree_importance")
 def tree_importance(v):
-    return show(learn.tree_importance(learn.boosted(_table(v), maxIter=10), v.spark, FEATURES), ["feature"], ["gain"])
+    """Gains of each disease's boosted learner."""
+    store = v.learned("boosted")
+    gains = [(d, f, g) for d in sorted(ensemble.SETTINGS) for f, g in zip(FEATURES, store.load(d, "boosted").featureImportances.toArray().tolist())]
+    return show(v.spark.createDataFrame(gains, "disease string, feature string, gain double"), ["disease", "feature"], ["gain"])
 
 
 @query("topk_importance")
 def topk_importance(v):
-    table = _table(v)
-    names = learn.top_features(learn.tree_importance(learn.boosted(table, maxIter=10), v.spark, FEATURES), 0.3)
-    slim = learn.assemble(v.kept_features, names, KEEP)
-    return _held_out(learn.boosted(slim, maxIter=10), slim)
+    """Refit of each disease on the features its boosted learner ranks highest (three tenths are dropped, ten at least stay)."""
+    store = v.learned("boosted")
+    tops = {d: learn.top_places(store.load(d, "boosted").featureImportances.toArray().tolist(), FEATURES, 0.3) for d in ensemble.SETTINGS}
+    slim = learn.sliced(v.model_table, tops)
+    models = ensemble.fit_each(slim, lambda rows, d: ensemble.fit_boosted(rows, ensemble.SETTINGS[d])["boosted"])
+    return show(ensemble.scored_each(slim.filter("split <> 'train'"), models, KEEP), KEEP, ["p"])
 
 
 @query("permutation_importance")
 def permutation_importance(v):
-    table = learn.assemble(v.kept_features, CHOSEN, KEEP)
-    model = learn.boosted(table, maxIter=8)
-    test = table.filter("split = 'test'")
-    return show(explain.permutation_importance(model, test, CHOSEN, CHOSEN, KEY), ["feature"], ["rise"])
+    """Rise of the test MAE of each disease's boosted learner when a feature is shuffled, all features."""
+    store, test = v.learned("boosted"), v.model_table.filter("split = 'test'")
+    out = None
+    for d in sorted(ensemble.SETTINGS):
+        part = explain.permutation_importance(store.load(d, "boosted"), test.filter(F.col("disease") == d), FEATURES, FEATURES, KEY).withColumn("disease", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    return show(out, ["disease", "feature"], ["rise"])
 
 
 @query("local_contribution")
 def local_contribution(v):
-    table = learn.assemble(v.kept_features, CHOSEN, KEEP)
-    train, rest = learn.splits_of(table)
-    model = learn.boosted(table, maxIter=8)
-    return show(explain.local_contribution(model, train, rest, CHOSEN, CHOSEN, KEY), [*KEY, "feature"], ["forecast", "contribution"])
+    """All features of every forecast of the newest week, with the base value: base + contributions = forecast."""
+    return show(_contributions(v), [*KEY, "feature"], ["base", "forecast", "contribution"])
 
 
 @query("explain")
 def explain_rows(v):
-    """Contributions of the newest week of one district, strongest first."""
-    table = learn.assemble(v.kept_features, CHOSEN, KEEP)
-    model = learn.ridge(learn.splits_of(table)[0])
-    plain = v.kept_features.fillna(0, CHOSEN)
-    newest = plain.agg(F.max("week_start")).scalar()
-    rows = plain.filter((F.col("week_start") == newest) & (F.col("district") == "NATION_1"))
-    parts = explain.linear_contribution(model.coefficients.toArray(), plain.filter("split = 'train'"), rows, CHOSEN, KEY)
-    return show(explain.strongest(parts), [*KEY, "feature"], ["contribution"])
+    """Why one area's forecasts of a week: all features of each disease, by size."""
+    parts = _contributions(v, district="NATION_1").withColumn("place", F.row_number().over(
+        Window.partitionBy(*KEY).orderBy(F.desc(F.abs("contribution")), "feature")))
+    return show(parts, [*KEY, "feature", "place"], ["base", "forecast", "contribution"])
 
 
 @query("config_search")
 def config_search(v):
-    return show(learn.config_search(learn.assemble(v.kept_features, CHOSEN, KEEP)), ["config", "trees", "best"], ["r2_val", "r2_test"])
+    """The eight named sets per disease by successive halving on val: rounds of the best error, stage, winner."""
+    rows = ensemble.named_search(v.model_table)
+    df = v.spark.createDataFrame(rows, "disease string, config string, rounds int, mae_val double, stage int, best boolean")
+    return show(df, ["disease", "config", "rounds", "stage", "best"], ["mae_val"])
 
 
 @query("per_disease_fit")
 def per_disease_fit(v):
-    return show(learn.per_disease(learn.assemble(v.kept_features, CHOSEN, KEEP)), KEEP, ["p"])
+    """The ensemble chain of every disease: learners on all features, blend and area bias from val."""
+    return show(v.blended, KEEP, ["a", "b", "weight", "factor", "lower", "median", "upper"])
+
+
+@query("ensemble_metrics")
+def ensemble_metrics(v):
+    """Test errors of the chain and of its learners, with the rounds that were fitted."""
+    rounds = v.learned(*ensemble.LEARNERS).manifest().filter("part = 'boosted'").select(F.col("key").alias("disease"), F.col("facts")["rounds"].alias("rounds"))
+    scores = ensemble.metrics(v.blended).join(rounds, "disease")
+    return show(scores, ["disease"], [c for c in scores.columns if c not in ("disease", "n", "rounds")], ["n", "rounds"])
 
 
 # ---- serving -----------------------------------------------------------------------------------
