@@ -94,18 +94,55 @@ def test_cache_rewrite_is_idempotent(spark):
     assert spark.read.parquet(path).count() == 24
 
 
-def test_stream_over_several_batches_equals_batch(spark, views):
-    from weekloom.operators.weekly import weekly_climate
+def _streamed(spark, rows, order, files=4):
+    """The stream's table over files in the given order, with its late report."""
     from weekloom.streaming import weekly as stream
 
     source, path, state = (new_folder(spark, n) for n in ("in", "out", "state"))
-    rows = views.readings
-    rows.orderBy("ts").repartitionByRange(4, "ts").write.parquet(source)
-    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream.run_to_table(stream.weekly_stream(live, late="60 days"), path, state)
-    stream.run_to_table(stream.weekly_stream(live, late="60 days"), path, state)  # nothing new
-    got, want = stream.read_table(spark, path), weekly_climate(rows, "ts")
-    r = lambda d: d.select("district", "week_start", *[F.round(c, 6).alias(c) for c in d.columns if c.startswith(("T2M", "RH2M"))])
-    assert r(got).count() == r(want).count() > 0
-    cols = r(want).columns
-    assert r(got).select(cols).exceptAll(r(want)).count() == 0
+    live = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    days = rows.select(F.percentile(F.unix_seconds("ts"), F.array(*[F.lit(k / files) for k in range(files + 1)])).alias("q")).first().q
+    for k in order(range(files)):
+        low, high = days[k], days[k + 1] + (k == files - 1)
+        rows.filter((F.unix_seconds("ts") >= low) & (F.unix_seconds("ts") < high)).coalesce(1).write.mode("append").parquet(source)
+        stream.run_to_table(live(), path, state)
+    stream.run_to_table(live(), path, state)  # nothing new
+    return path, stream.read_table(spark, path), stream.late_rows(spark, path)
+
+
+def _same_weeks(got, rows):
+    from weekloom.operators.weekly import weekly_climate
+
+    r = lambda d: d.select("district", "week_start", *[F.round(c, 6).alias(c) for c in sorted(d.columns) if c.startswith(("T2M", "RH2M", "PREC"))])
+    got, want = r(got), r(weekly_climate(rows, "ts"))
+    assert got.columns == want.columns and got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+
+
+def test_stream_over_several_batches_equals_batch(spark, views):
+    from weekloom.functions.dates import utc_instant
+
+    rows = views.readings.withColumn("ts", utc_instant("ts")) if dict(views.readings.dtypes)["ts"] == "timestamp_ntz" else views.readings
+    for order, some_late in ((list, False), (lambda x: list(reversed(x)), True)):
+        path, got, late = _streamed(spark, rows, order)
+        _same_weeks(got, rows)
+        report = late.orderBy("batch").collect()
+        assert len(report) == 4 and sum(r.rows for r in report) == rows.count()
+        assert (sum(r.late for r in report) > 0) == some_late and report[0].late == 0
+
+
+def test_stream_retry_nulls_and_compaction(spark):
+    from weekloom.streaming import weekly as stream
+
+    rows = spark.sql("""SELECT CAST(a AS string) AS district, CAST(t AS timestamp) AS ts, CAST(x AS double) AS T2M, 1.0D AS T2M_MAX, 1.0D AS T2M_MIN,
+        CAST(NULL AS double) AS RH2M, 2.0D AS PRECTOTCORR FROM VALUES ('p', '2024-01-07 23:59:59', 1), ('p', '2024-01-08 00:00:00', 2), ('p', '2024-01-08 01:00:00', 4),
+        (NULL, '2024-01-08 00:00:00', 5), ('q', NULL, 6), ('q', '2024-01-01 00:00:00', NULL) AS v(a, t, x)""")
+    path, target = new_folder(spark, "parts"), new_folder(spark, "merged")
+    for batch, part in ((0, rows.filter("T2M > 1 OR T2M IS NULL")), (1, rows.filter("T2M = 1")), (1, rows.filter("T2M = 1"))):  # the last is a retry
+        stream.weekly_parts(part).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    want = [("p", "2024-01-01", 1.0, 1.0, None), ("p", "2024-01-08", 3.0, 4.0, None), ("q", "2024-01-01", None, None, None)]
+    stream.compact(spark, path, target)
+    for folder in (path, target):
+        got = stream.read_table(spark, folder).select("district", F.col("week_start").cast("string"), "T2M_avg", "T2M_max", "RH2M_avg")
+        assert sorted(map(tuple, got.collect())) == want
+    assert {(r.batch, r.rows, r.late) for r in stream.late_rows(spark, path).collect()} == {(0, 3, 0), (1, 1, 0)}
+    assert {(r.batch, r.late) for r in stream.late_rows(spark, path, "0 days").collect()} == {(0, 0), (1, 1)}

@@ -28,17 +28,24 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], defaults: dict[
 
 
 def hierarchical_mean(
-    df: DataFrame, train: DataFrame, fine: Sequence[str], coarse: Sequence[str], value: str = "target", out: str = "seasonal_mean"
+    df: DataFrame, train: DataFrame, fine: Sequence[str], coarse: Sequence[str], value: str = "target", out: str = "seasonal_mean",
+    by: Sequence[str] = ("disease",),
 ) -> DataFrame:
-    """Train mean of the fine key, else of the coarse key, else the mean of the coarse means."""
-    f = train.groupBy(*fine).agg(F.avg(value).alias("_fine"))
-    c = train.groupBy(*coarse).agg(F.avg(value).alias("_coarse"))
-    rest = c.agg(F.avg("_coarse")).scalar()
+    """Train mean of the fine key, else of the coarse key, else the mean of the group's coarse means.
+
+    ``by`` is part of every level, so a group never takes another group's mean; a group without
+    train rows gets NULL. All levels are folded from one aggregate of the train rows, whose
+    exchange the joins reuse, and sizes decide at run time how each level is joined.
+    """
+    if not set(by) <= set(fine) & set(coarse) or not set(coarse) <= set(fine):
+        raise ValueError("every level must hold the keys of the one below it")
+    cells = train.groupBy(*fine).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    f = cells.select(*fine, (F.col("_s") / F.nullif("_n", F.lit(0))).alias("_fine"))
+    c = cells.groupBy(*coarse).agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias("_coarse"))
+    rest = c.groupBy(*by).agg(F.avg("_coarse").alias("_rest"))
     return (
-        df.join(small_side(f), list(fine), "left")
-        .join(small_side(c), list(coarse), "left")
-        .withColumn(out, F.coalesce("_fine", "_coarse", rest))
-        .drop("_fine", "_coarse")
+        df.join(f, list(fine), "left").join(c, list(coarse), "left").join(rest, list(by), "left")
+        .withColumn(out, F.coalesce("_fine", "_coarse", "_rest")).drop("_fine", "_coarse", "_rest")
     )
 
 

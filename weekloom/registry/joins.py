@@ -80,16 +80,16 @@ def lookup_default(v):
 
 
 @query("lookup_hierarchical", view("series", """
-SELECT s.disease, s.district, s.week_start, round(coalesce(f.m, c.m, (SELECT avg(m) FROM (SELECT avg(target) AS m FROM series
-   WHERE split = 'train' AND target > 0 GROUP BY week_number))), 6) AS seasonal_mean
-FROM series s
+SELECT s.disease, s.district, s.week_start, round(coalesce(f.m, c.m, r.m), 6) AS seasonal_mean
+FROM series s LEFT JOIN (SELECT disease, avg(m) AS m FROM (SELECT disease, avg(target) AS m FROM series
+   WHERE split = 'train' AND target > 0 GROUP BY disease, week_number) GROUP BY disease) r ON s.disease = r.disease
 LEFT JOIN (SELECT disease, district, week_number, avg(target) AS m FROM series WHERE split = 'train' AND target > 0 GROUP BY ALL) f
   ON s.disease = f.disease AND s.district = f.district AND s.week_number = f.week_number
-LEFT JOIN (SELECT week_number, avg(target) AS m FROM series WHERE split = 'train' AND target > 0 GROUP BY ALL) c
-  ON s.week_number = c.week_number"""))
+LEFT JOIN (SELECT disease, week_number, avg(target) AS m FROM series WHERE split = 'train' AND target > 0 GROUP BY ALL) c
+  ON s.disease = c.disease AND s.week_number = c.week_number"""))
 def lookup_hierarchical(v):
     train = v.series.filter("split = 'train' AND target > 0")
-    df = joins.hierarchical_mean(v.series, train, ["disease", "district", "week_number"], ["week_number"])
+    df = joins.hierarchical_mean(v.series, train, ["disease", "district", "week_number"], ["disease", "week_number"])
     return show(df, KEY, ["seasonal_mean"])
 
 

@@ -357,5 +357,5 @@ def stream_weekly_climate(v):
 
     path, state = new_folder(v.spark, "weeks"), new_folder(v.spark, "state")
     source = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.folder}/event[s].parquet")
-    stream.run_to_table(stream.weekly_stream(readings_of(source)), path, state)
+    stream.run_to_table(readings_of(source), path, state)
     return show(stream.read_table(v.spark, path), ["district", "week_start"], WEEKLY_CLIMATE)

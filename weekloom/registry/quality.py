@@ -79,8 +79,9 @@ def late_mean(v):
 
 
 _SEASONAL = {
-    "res": """SELECT s.*, coalesce(f.m, c.m, (SELECT avg(m) FROM (SELECT avg(target) AS m FROM series WHERE split = 'train' GROUP BY disease, week_number))) AS seasonal_mean
-FROM series s LEFT JOIN (SELECT disease, district, week_number, avg(target) AS m FROM series WHERE split = 'train' GROUP BY ALL) f
+    "res": """SELECT s.*, coalesce(f.m, c.m, r.m) AS seasonal_mean
+FROM series s LEFT JOIN (SELECT disease, avg(m) AS m FROM (SELECT disease, avg(target) AS m FROM series WHERE split = 'train' GROUP BY disease, week_number) GROUP BY disease) r
+  ON s.disease = r.disease LEFT JOIN (SELECT disease, district, week_number, avg(target) AS m FROM series WHERE split = 'train' GROUP BY ALL) f
   ON s.disease = f.disease AND s.district = f.district AND s.week_number = f.week_number
 LEFT JOIN (SELECT disease, week_number, avg(target) AS m FROM series WHERE split = 'train' GROUP BY ALL) c ON s.disease = c.disease AND s.week_number = c.week_number""",
     "line": """SELECT disease, regr_slope(target - seasonal_mean, week_index) AS slope, regr_intercept(target - seasonal_mean, week_index) AS intercept

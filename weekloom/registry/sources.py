@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weekloom.constants import CLIMATE_VARIABLES, DAILY_SOURCE_COORDINATES, DISEASES, READING_SOURCE_COORDINATES
 from weekloom.functions.dates import epoch_seconds, week_start
+from weekloom.operators import weekly
 from weekloom.registry.base import out, query, show
 from weekloom.registry.sql import view
 from weekloom.runtime import new_folder
@@ -63,7 +64,7 @@ def tolerant_scan(v):
     number = F.when(F.col("target") == 3, "n/a").otherwise(F.col("target").cast("string"))
     line = F.concat_ws(",", "district", F.col("week_start").cast("string"), "disease", number)
     v.cases_weekly.select(line.alias("value")).write.text(path)
-    good, bad = csv.tolerant_scan(v.spark, path, "district string, week_start date, disease string, target bigint")
+    good, bad, _ = csv.tolerant_scan(v.spark, path, "district string, week_start date, disease string, target bigint")
     lost = bad.groupBy(F.split("line", ",")[0].alias("district")).agg(F.count("*").alias("bad_rows"))
     kept = good.groupBy("district").agg(F.count("*").alias("good_rows"), F.sum("target").alias("good_cases"))
     return kept.join(lost, "district", "left").withColumn("bad_rows", F.coalesce("bad_rows", F.lit(0).cast("bigint")))
@@ -148,11 +149,20 @@ def district_dim(v):
 SELECT district, week_start, CASE WHEN weekofyear(week_start) % 2 = 0 THEN 'cache' ELSE 'computed' END AS source,
   round(T2M_avg, 6) AS T2M_avg FROM climate_weekly"""))
 def week_cache_read(v):
-    path = new_folder(v.spark, "cache")
-    weekly = v.climate_weekly.select("district", "week_start", "T2M_avg")
-    stores.write_weeks(weekly.filter(F.weekofyear("week_start") % 2 == 0), path)
-    df = stores.read_weeks(v.spark, path, weekly.select("week_start").distinct(), weekly)
-    return show(df, ["district", "week_start", "source"], ["T2M_avg"])
+    from weekloom.functions.dates import week_start
+
+    cache = stores.WeekCache(v.spark, new_folder(v.spark, "cache"))
+    day = week_start(F.col("l_shipdate").cast("date"))
+    wanted = v.table("lineitem").agg(F.min(day).alias("a"), F.max(day).alias("b")).select(
+        F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
+
+    def compute(weeks):
+        """Only the raw days of these weeks."""
+        days = v.climate_daily.filter(week_start("d").isin(weeks))
+        return weekly.weekly_climate(days).select("district", "week_start", "T2M_avg")
+
+    cache.fill(wanted.filter(F.weekofyear("week_start") % 2 == 0), compute)
+    return show(cache.read(wanted, compute), ["district", "week_start", "source"], ["T2M_avg"])
 
 
 @query("week_cache_write", view("climate_weekly", """
