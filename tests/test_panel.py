@@ -133,8 +133,24 @@ def test_weights_have_mean_one(views):
 
     s = views.kept_series
     for made in (drift.hist_reweight(s), drift.inverse_root_weights(s), drift.blend_weights_20_80(s), drift.align_weights(s), drift.zero_align_weights(s)):
-        row = made.agg(F.avg("weight"), F.count_if(F.col("weight").isNull())).first()
-        assert row[0] == pytest.approx(1.0, abs=1e-6) and row[1] == 0
+        rows = made.groupBy("disease").agg(F.avg("weight").alias("mean"), F.count_if(F.col("weight").isNull()).alias("none")).collect()
+        assert len(rows) == 4 and all(r.mean == pytest.approx(1.0, abs=1e-6) and r.none == 0 for r in rows)
+        assert set(made.columns) == {*s.columns, "weight"} and made.select("split").distinct().count() == 1
+
+
+def test_weights_of_small_and_odd_groups(spark):
+    from weekloom.operators import drift
+
+    rows = [("a", "train", x) for x in (0.0, 0.0, 1.0, 9.0, None)] + [("a", "val", 0.0), ("a", "val", 5.0), ("a", "test", 1.0), ("b", "train", 3.0), ("c", "val", 2.0)]
+    df = spark.createDataFrame(rows, "disease string, split string, target double")
+    for make in (drift.inverse_root_weights, drift.blend_weights_20_80, drift.align_weights, drift.zero_align_weights, drift.hist_reweight):
+        assert make(df.limit(0)).count() == 0
+        for r in make(df).collect():
+            assert r.weight is None or r.weight >= 0
+    got = {r.target: r.weight for r in drift.inverse_root_weights(df.filter("disease = 'a'")).collect()}
+    assert got[None] is None and got[0.0] < got[1.0] == got[9.0]
+    z = {(r.disease, r.target): r.standing_z for r in drift.standardise(df.withColumnRenamed("target", "standing").withColumn("target", F.col("standing")), ["standing"]).collect()}
+    assert z["b", 3.0] == 0.0 and z["c", 2.0] is None and z["a", 0.0] < 0 < z["a", 9.0]
 
 
 def test_text_and_numbers(spark):

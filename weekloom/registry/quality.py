@@ -137,41 +137,45 @@ _SCREEN = ["target", "T2M_avg", "T2M_max", "T2M_min", "RH2M_avg", "PRECTOTCORR_a
 
 
 @query("leakage_screen", view("panel", "SELECT *, ks_train_val > 0.2 AND ks_val_test < 0.1 AS suspicious FROM ("
-    + _ks_sql("tall", ["feature"], "value", [("train", "val"), ("val", "test")]) + ")",
-    {"tall": " UNION ALL ".join(f"SELECT split, '{c}' AS feature, round(CAST({c} AS DOUBLE), 9) AS value FROM panel" for c in _SCREEN)}))
+    + _ks_sql("tall", ["disease", "feature"], "value", [("train", "val"), ("val", "test")]) + ")",
+    {"tall": " UNION ALL ".join(f"SELECT disease, split, '{c}' AS feature, round(CAST({c} AS DOUBLE), 9) AS value FROM panel" for c in _SCREEN)}))
 def leakage_screen(v):
     # Rounded so that means summed in another order count as the same value on both engines.
-    df = v.kept_panel.select("split", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in _SCREEN])
-    return show(drift.leakage_screen(df, _SCREEN), ["feature", "suspicious"], ["ks_train_val", "ks_val_test"])
+    df = v.kept_panel.select("disease", "split", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in _SCREEN])
+    return show(drift.leakage_screen(df, _SCREEN), ["disease", "feature", "suspicious"], ["ks_train_val", "ks_val_test"])
 
 
 _T = {"t": "SELECT * FROM series"}
 _ROW = "disease, district, week_start, target"
+_D = "(PARTITION BY disease)"
 
 
 @query("hist_reweight", view("series", f"""
-SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
-  SELECT t.*, greatest(0.1, least(10.0, te / vs)) AS w FROM (SELECT *, {{bin}} AS bin FROM t, span) t JOIN (
-    SELECT {{bin}} AS bin, count(*) FILTER (WHERE split = 'val') * 1.0 / (SELECT count(*) FROM t WHERE split = 'val') AS vs,
-      count(*) FILTER (WHERE split = 'test') * 1.0 / (SELECT count(*) FROM t WHERE split = 'test') AS te
-    FROM t, span WHERE split IN ('val', 'test') GROUP BY 1) h USING (bin) WHERE split = 'val')""".replace(
-    "{bin}", "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS INTEGER)").replace("span", "sp"),
-    {**_T, "sp": "SELECT CAST(min(target) AS DOUBLE) AS lo, max(target) + 1e-9 AS hi FROM t WHERE split IN ('val', 'test')"}))
+SELECT {_ROW}, round(w / avg(w) OVER {_D}, 6) AS weight FROM (
+  SELECT t.*, greatest(0.1, least(10.0, te / vs)) AS w FROM (SELECT t.*, {{bin}} AS bin FROM t JOIN sp USING (disease)) t JOIN (
+    SELECT disease, bin, vn * 1.0 / sum(vn) OVER {_D} AS vs, en * 1.0 / sum(en) OVER {_D} AS te FROM (
+      SELECT disease, {{bin}} AS bin, count(*) FILTER (WHERE split = 'val') AS vn, count(*) FILTER (WHERE split = 'test') AS en
+      FROM t JOIN sp USING (disease) WHERE split IN ('val', 'test') GROUP BY 1, 2)) h USING (disease, bin) WHERE split = 'val')""".replace(
+    "{bin}", "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS INTEGER)"),
+    {**_T, "sp": "SELECT disease, CAST(min(target) AS DOUBLE) AS lo, max(target) + 1e-9 AS hi FROM t WHERE split IN ('val', 'test') GROUP BY disease"}))
 def hist_reweight(v):
     return show(drift.hist_reweight(v.kept_series), KEY, ["weight"], ["target"])
 
 
 def _edges(source, n):
-    return "SELECT [" + ", ".join(f"quantile_cont(target, {i / n})" for i in range(n)) + f", max(target) + 1e-6] AS e FROM {source}"
+    return "SELECT disease, [" + ", ".join(f"quantile_cont(target, {i / n})" for i in range(n)) + f", max(target) + 1e-6] AS e FROM {source} GROUP BY disease"
 
 
 def _bin(n):
     return f"least(greatest(len(list_filter(e, lambda x: x <= target)) - 1, 0), {n - 1})"
 
 
+_TRAIN = {**_T, "tr": "SELECT * FROM t WHERE split = 'train'"}
+
+
 @query("decile_weights", view("series", f"""
-SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
-  SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY bin)) AS w FROM (SELECT *, {_bin(10)} AS bin FROM t, ed))""", {**_T, "ed": _edges("t", 10)}))
+SELECT {_ROW}, round(w / avg(w) OVER {_D}, 6) AS weight FROM (
+  SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY disease, bin)) AS w FROM (SELECT *, {_bin(10)} AS bin FROM tr JOIN ed USING (disease)))""", {**_TRAIN, "ed": _edges("tr", 10)}))
 def decile_weights(v):
     return show(drift.inverse_root_weights(v.kept_series), KEY, ["weight"], ["target"])
 
@@ -180,39 +184,40 @@ _VBIN = "CAST(least(greatest(floor((target - lo) / (hi - lo) * 20), 0), 19) AS I
 
 
 @query("blend_weights_20_80", view("series", f"""
-SELECT {_ROW}, round(c / avg(c) OVER (), 6) AS weight FROM (SELECT *, 0.8 * f / avg(f) OVER () + 0.2 * d / avg(d) OVER () AS c FROM (
-  SELECT t.*, 1 / sqrt(count(*) OVER (PARTITION BY qbin)) AS f, greatest(0.2, least(5.0, coalesce(r, 1.0))) AS d
-  FROM (SELECT t.*, {_bin(20)} AS qbin, {_VBIN} AS hbin FROM t, ed, sp WHERE split = 'train') t LEFT JOIN h USING (hbin)))""", {
-    **_T, "tr": "SELECT * FROM t WHERE split = 'train'", "ed": _edges("tr", 20),
-    "sp": "SELECT CAST(min(target) AS DOUBLE) AS lo, CAST(max(target) AS DOUBLE) AS hi FROM t WHERE split = 'val'",
-    "hc": f"SELECT {_VBIN} AS hbin, count(*) FILTER (WHERE split = 'train') AS tn, count(*) FILTER (WHERE split = 'val') AS vn FROM t, sp WHERE split IN ('train', 'val') AND target BETWEEN lo AND hi GROUP BY 1",
-    "h": "SELECT hbin, (vn * 1.0 / (SELECT sum(vn) FROM hc)) / (nullif(tn, 0) * 1.0 / (SELECT sum(tn) FROM hc)) AS r FROM hc"}))
+SELECT {_ROW}, round(c / avg(c) OVER {_D}, 6) AS weight FROM (SELECT *, 0.8 * f / avg(f) OVER {_D} + 0.2 * d / avg(d) OVER {_D} AS c FROM (
+  SELECT t.*, 1 / sqrt(count(*) OVER (PARTITION BY disease, qbin)) AS f, greatest(0.2, least(5.0, coalesce(r, 1.0))) AS d
+  FROM (SELECT tr.*, {_bin(20)} AS qbin, {_VBIN} AS hbin FROM tr JOIN ed USING (disease) JOIN sp USING (disease)) t LEFT JOIN h USING (disease, hbin)))""", {
+    **_TRAIN, "ed": _edges("tr", 20),
+    "sp": "SELECT disease, CAST(min(target) AS DOUBLE) AS lo, CAST(max(target) AS DOUBLE) AS hi FROM t WHERE split = 'val' GROUP BY disease",
+    "hc": f"SELECT disease, {_VBIN} AS hbin, count(*) FILTER (WHERE split = 'train') AS tn, count(*) FILTER (WHERE split = 'val') AS vn FROM t JOIN sp USING (disease) WHERE split IN ('train', 'val') AND target BETWEEN lo AND hi GROUP BY 1, 2",
+    "h": f"SELECT disease, hbin, (vn * 1.0 / sum(vn) OVER {_D}) / (nullif(tn, 0) * 1.0 / sum(tn) OVER {_D}) AS r FROM hc"}))
 def blend_weights_20_80(v):
     return show(drift.blend_weights_20_80(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("align_weights", view("series", f"""
-SELECT {_ROW}, round(w / (avg(w) OVER () + 1e-9), 6) AS weight FROM (SELECT b.*, (en * 1.0 / et) / (tn * 1.0 / tt) AS w
-  FROM (SELECT * FROM b WHERE split = 'train') b JOIN c USING (bin), (SELECT sum(tn) + 10 - count(*) AS tt, sum(en) AS et FROM c))""", {
-    **_T, "two": "SELECT * FROM t WHERE split IN ('train', 'test')", "ed": _edges("two", 10), "b": f"SELECT two.*, {_bin(10)} AS bin FROM two, ed",
-    "c": "SELECT bin, greatest(count(*) FILTER (WHERE split = 'train'), 1) AS tn, count(*) FILTER (WHERE split = 'test') AS en FROM b GROUP BY bin"}))
+SELECT {_ROW}, round(w / (avg(w) OVER {_D} + 1e-9), 6) AS weight FROM (SELECT b.*, (en * 1.0 / et) / (tn * 1.0 / tt) AS w
+  FROM b JOIN c USING (disease, bin) JOIN (SELECT disease, sum(tn) + 10 - count(*) AS tt, sum(en) AS et FROM c GROUP BY disease) USING (disease) WHERE split = 'train')""", {
+    **_T, "two": "SELECT * FROM t WHERE split IN ('train', 'test')", "ed": _edges("two", 10), "b": f"SELECT two.*, {_bin(10)} AS bin FROM two JOIN ed USING (disease)",
+    "c": "SELECT disease, bin, greatest(count(*) FILTER (WHERE split = 'train'), 1) AS tn, count(*) FILTER (WHERE split = 'test') AS en FROM b GROUP BY disease, bin"}))
 def align_weights(v):
     return show(drift.align_weights(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("zero_align_weights", view("series", f"""
-SELECT {_ROW}, round(w / avg(w) OVER (), 6) AS weight FROM (
-  SELECT t.*, greatest(0.3, least(4.0, CASE WHEN target = 0 THEN g / z ELSE (1 - g) / greatest(1 - z, 1e-6) END)) AS w FROM t,
-   (SELECT greatest(avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'train'), 1e-6) AS z,
-      greatest((avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'val') + avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'test')) / 2, 1e-6) AS g FROM t)
-  WHERE split = 'train')""", _T))
+SELECT {_ROW}, round(w / avg(w) OVER {_D}, 6) AS weight FROM (
+  SELECT t.*, greatest(0.3, least(4.0, CASE WHEN target = 0 THEN g / z ELSE (1 - g) / greatest(1 - z, 1e-6) END)) AS w FROM t JOIN
+   (SELECT disease, greatest(avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'train'), 1e-6) AS z,
+      greatest((avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'val') + avg(CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE split = 'test')) / 2, 1e-6) AS g
+    FROM t GROUP BY disease) USING (disease) WHERE split = 'train')""", _T))
 def zero_align_weights(v):
     return show(drift.zero_align_weights(v.kept_series), KEY, ["weight"], ["target"])
 
 
 @query("minmax_percentile", view("forecasts", """
 SELECT disease, district, week_start, round(greatest(0, least(1, (b - lo) / g)), 6) AS scaled, round(greatest(0, least(1, (b - lo) / g)) * g + lo, 6) AS restored
-FROM forecasts, (SELECT quantile_cont(b, 0.005) AS lo, greatest(quantile_cont(b, 0.995) - quantile_cont(b, 0.005), 1e-6) AS g FROM forecasts WHERE split = 'train')"""))
+FROM forecasts JOIN (SELECT disease, quantile_cont(b, 0.005) AS lo, greatest(quantile_cont(b, 0.995) - quantile_cont(b, 0.005), 1e-6) AS g
+  FROM forecasts WHERE split = 'train' GROUP BY disease) USING (disease)"""))
 def minmax_percentile(v):
     return show(drift.minmax_percentile(v.kept_forecasts, "b"), KEY, ["scaled", "restored"])
 
@@ -220,10 +225,11 @@ def minmax_percentile(v):
 _STD = ["T2M_avg", "RH2M_avg", "target"]
 
 
-@query("standardise", view("panel", "SELECT disease, district, week_start, " + ", ".join(
-    f"round(({c} - (SELECT avg({c}) FROM panel WHERE split = 'train')) / (SELECT stddev_pop({c}) FROM panel WHERE split = 'train'), 6) AS {c}_z" for c in _STD) + " FROM panel"))
+@query("standardise", view("panel", "SELECT disease, district, week_start, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}_z" for c in _STD)
+    + " FROM panel JOIN (SELECT disease, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _STD)
+    + " FROM panel WHERE split = 'train' GROUP BY disease) USING (disease)"))
 def standardise(v):
-    return show(drift.standardise(v.panel, _STD), KEY, [f"{c}_z" for c in _STD])
+    return show(drift.standardise(v.kept_panel, _STD), KEY, [f"{c}_z" for c in _STD])
 
 
 _MODELS = ["recent", "seasonal", "blended"]
