@@ -146,3 +146,38 @@ def test_stream_retry_nulls_and_compaction(spark):
         assert sorted(map(tuple, got.collect())) == want
     assert {(r.batch, r.rows, r.late) for r in stream.late_rows(spark, path).collect()} == {(0, 3, 0), (1, 1, 0)}
     assert {(r.batch, r.late) for r in stream.late_rows(spark, path, "0 days").collect()} == {(0, 0), (1, 1)}
+
+
+def test_ema_over_range_cells(spark):
+    rng = np.random.default_rng(2)
+    long = [("long", i, float(x)) for i, x in enumerate(rng.normal(size=100_000))]
+    odd = [("odd", 7, None), ("odd", 3, 2.0), ("odd", 1, None), ("odd", 9, 5.0), ("odd", 12, 1.0), ("odd", 4, 4.0), ("one", 1, 3.0), ("none", 1, None)]
+    many = [(f"k{i % 40}", i, None if i % 17 == 0 else float(i % 13)) for i in range(3000)]
+    rows = long + odd + many
+    got = {(r.g, r.i): r.ema for r in series.ema(spark.createDataFrame(rows, "g string, i int, v double").repartition(6), ["g"], "i", "v").collect()}
+    assert len(got) == len(rows)
+    last = {}
+    for g, i, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        e = last.get(g)
+        last[g] = e = None if v is None else v if e is None else 0.88 * e + 0.12 * v
+        assert got[g, i] == (None if e is None else pytest.approx(e, abs=1e-9)), (g, i)
+    assert series.ema(spark.createDataFrame([], "g string, i int, v double"), ["g"], "i", "v").count() == 0
+
+
+def test_correlations_of_large_values_do_not_cancel(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(4000, 3)), columns=list("abc"))
+    pdf["b"] = 1e9 + pdf["a"] + pdf["b"]
+    pdf["c"] = -3e9 + pdf["c"] * 0.5 + pdf["a"]
+    pdf.loc[::5, "c"] = None
+    pdf["d"], pdf["e"] = 7.0, None
+    df = spark.createDataFrame(pdf.astype(float)).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abcde"]).repartition(9)
+    got = {(r.left, r.right): r.corr for r in profile.corr_matrix(df, list("abcde")).collect()}
+    want = (pdf - pdf.mean()).corr()
+    assert len(got) == 25
+    for i in "abc":
+        for j in "abc":
+            assert got[i, j] == pytest.approx(want.loc[i, j], abs=1e-6)
+        assert got[i, "d"] is None and got["e", i] is None

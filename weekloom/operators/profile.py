@@ -91,46 +91,76 @@ def normality_jb(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         "normal", F.col("p_value") > 0.05)
 
 
+MERGE_TASKS = 64
+
+
+def _merged_moments(x, y):
+    """Two sets of pairwise moments (n, mean x, mean y, Cxx, Cyy, Cxy), each a matrix, as one."""
+    import numpy as np
+
+    n = x[0] + y[0]
+    part = np.divide(y[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = y[1] - x[1], y[2] - x[2]
+    w = x[0] * part
+    return np.stack([n, x[1] + dx * part, x[2] + dy * part, x[3] + y[3] + dx * dx * w, x[4] + y[4] + dy * dy * w, x[5] + y[5] + dx * dy * w])
+
+
 def _pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete sums (i, j, n, sx, sy, sxx, syy, sxy) of centred columns in one pass.
+    """Pairwise-complete (i, j, n, vx, vy, cov): centred sums of squares and products, one pass over the rows.
 
-    A single aggregate with hundreds of ``corr`` calls outgrows generated code, so each
-    partition folds its Arrow batches into one small matrix per moment; only columns
-    squared rows per partition are shuffled.
+    A single aggregate with hundreds of ``corr`` calls outgrows generated code, so a task folds
+    its Arrow batches into one small matrix per moment, each batch centred on its own means
+    first. Moments of batches and tasks merge pairwise, in two levels of tasks, so nothing
+    is centred beforehand and large values do not cancel.
     """
     import numpy as np
     import pandas as pd
 
     k = len(columns)
     num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    first = num.agg(*[F.avg(c) for c in num.columns]).first()
-    centre = np.array([0.0 if x is None else float(x) for x in first])
-    shape = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+    def row(total):
+        from pyspark import TaskContext
+
+        return pd.DataFrame({"part": [TaskContext.get().partitionId()], "moments": [total.ravel()]})
 
     def fold(batches):
         total = np.zeros((6, k, k))
         for b in batches:
-            x = b.to_numpy(dtype=float) - centre
+            x = b.to_numpy(dtype=float)
             ok = ~np.isnan(x)
-            x, m = np.where(ok, x, 0.0), ok.astype(float)
-            s, q = x.T @ m, (x * x).T @ m
-            total += np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x])
+            centre = np.where(ok, x, 0.0).sum(axis=0) / np.maximum(ok.sum(axis=0), 1)
+            x, m = np.where(ok, x - centre, 0.0), ok.astype(float)
+            n, s, q = m.T @ m, x.T @ m, (x * x).T @ m
+            some = np.maximum(n, 1.0)
+            total = _merged_moments(total, np.stack([
+                n, np.where(n > 0, centre[:, None] + s / some, 0.0), np.where(n > 0, centre[None, :] + s.T / some, 0.0),
+                q - s * s / some, q.T - s.T * s.T / some, x.T @ x - s * s.T / some]))
+        yield row(total)
+
+    def merge(batches):
+        total = np.zeros((6, k, k))
+        for b in batches:
+            for m in b["moments"]:
+                total = _merged_moments(total, np.asarray(m, dtype=float).reshape(6, k, k))
+        yield row(total)
+
+    def flat(batches):
         i, j = np.indices((k, k))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{
-            n: total[t].ravel() for t, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+        for b in merge(batches):
+            total = b["moments"][0].reshape(6, k, k)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{n: total[t].ravel() for n, t in (("n", 0), ("vx", 3), ("vy", 4), ("cov", 5))}})
 
-    sums = num.mapInPandas(fold, shape).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cells = "part int, moments array<double>"
+    parts = num.mapInPandas(fold, cells).repartition(MERGE_TASKS, "part").mapInPandas(merge, cells)
+    sums = parts.repartition(1).mapInPandas(flat, "i int, j int, n double, vx double, vy double, cov double")  # MERGE_TASKS rows
     names = F.array(*[F.lit(c) for c in columns])
     return sums.withColumns({"left": names[F.col("i")], "right": names[F.col("j")]})
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair in long form, NULLs skipped per pair."""
-    m = _pair_moments(df, columns)
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
-    return m.select("left", "right", ratio(cov, F.sqrt(vx * vy)).alias("corr"))
+    return _pair_moments(df, columns).select("left", "right", ratio(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy"))).alias("corr"))
 
 
 def corr_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:

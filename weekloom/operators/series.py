@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.numbers import ratio
+from weekloom.runtime import durable
 
 
 def _ordered(by: Sequence[str], order: str):
@@ -78,17 +79,77 @@ def seasonal_decompose(df: DataFrame, by: Sequence[str], order: str, value: str,
 
 
 def ema(df: DataFrame, by: Sequence[str], order: str, value: str, alpha: float = 0.12) -> DataFrame:
-    """Exponential moving average, started at the first value: one fold over each key's ordered array."""
-    item = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    arrays = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.array().cast("array<struct<o: " + dict(df.dtypes)[order] + ", v: double, ema: double>>")
+    """Exponential moving average, started at the first value and anew after a NULL; NULL where the value is.
 
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1)).getField("ema")
-        nxt = F.coalesce(last * (1 - alpha) + x.getField("v") * alpha, x.getField("v"))
-        return F.concat(acc, F.array(F.struct(x.getField("o").alias("o"), x.getField("v").alias("v"), nxt.alias("ema"))))
+    A step is the affine map e -> (1 - alpha) e + alpha v, and maps compose to maps. Rows are laid
+    out in range cells of (key, order); each cell's maps compose to one pair per key, the
+    few pairs of a key are folded in order to the average that enters a cell, and a second
+    pass runs through each cell from there. Both passes are linear and no task holds a series.
+    """
+    import pandas as pd
 
-    return arrays.select(*by, F.inline(F.aggregate("xs", start, step))).withColumnsRenamed({"o": order, "v": value})
+    by = list(by)
+    laid = durable(df.select(*by, order, F.col(value).cast("double").alias("_v")).repartitionByRange(*by, F.col(order)).withColumn("_cell", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_cell").orderBy(order)
+    keep = 1.0 - alpha
+    # Rows since the last start: after a NULL, and at the key's first row, the average starts anew.
+    numbered = laid.withColumns({"_k": F.row_number().over(inside), "_run": F.sum(F.when(F.col("_v").isNull(), 1).otherwise(0)).over(inside)})
+    key = [*by, "_cell"]
+    ends = numbered.groupBy(*key).agg(
+        F.max("_run").alias("_nulls"), F.count("*").alias("_n"), F.max_by("_v", "_k").alias("_end"))
+    last = numbered.join(ends, key).filter("_run = _nulls AND _v IS NOT NULL").groupBy(*key).agg(
+        # the open run of a cell: its values weighted by the steps that follow, and by the start's full weight
+        F.sum(F.col("_v") * alpha * F.pow(F.lit(keep), F.col("_n") - F.col("_k"))).alias("_b"),
+        F.count("*").alias("_m"), F.min_by("_v", "_k").alias("_first"))
+    cells = ends.join(last, key, "left")
+    pair = F.struct(
+        F.col("_cell").alias("cell"), (F.col("_nulls") > 0).alias("cut"), F.col("_m").alias("m"),
+        F.coalesce("_b", F.lit(0.0)).alias("b"), F.col("_first").alias("first"))
+    folded = cells.groupBy(*by).agg(F.array_sort(F.collect_list(pair)).alias("cells"))  # a key's cells
+
+    def through(enters, c):
+        """Average that leaves a cell: a run that starts in it takes its first value in full."""
+        started = c.getField("b") + c.getField("first") * keep * F.pow(F.lit(keep), c.getField("m") - 1)
+        carried = enters * F.pow(F.lit(keep), c.getField("m")) + c.getField("b")
+        return F.when(c.getField("m").isNull(), F.lit(None).cast("double")).when(c.getField("cut") | enters.isNull(), started).otherwise(carried)
+
+    enters = F.transform("cells", lambda c, i: F.struct(c.getField("cell").alias("_cell"), F.aggregate(
+        F.slice(F.col("cells"), F.lit(1), i), F.lit(None).cast("double"), through).alias("_enters")))
+    start = folded.select(*by, F.inline(enters))
+    rows = laid.join(start, key).repartition("_cell", *by).sortWithinPartitions("_cell", *by, order)
+    names = [*by, order, "_v", "_enters", "_cell"]
+
+    def run(batches):
+        held, level = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            same = (b[[*by, "_cell"]].astype(str) == b[[*by, "_cell"]].astype(str).shift()).all(axis=1)
+            group = (~same).cumsum()
+            out = []
+            for _, g in b.groupby(group, sort=False):
+                now = tuple(g[[*by, "_cell"]].astype(str).iloc[0])
+                if now != held:
+                    held, level = now, g["_enters"].iloc[0]
+                null = g["_v"].isna()
+                parts = []
+                for _, r in g.groupby(null.cumsum(), sort=False):
+                    v = r["_v"]
+                    if pd.isna(v.iloc[0]):  # the run behind a NULL
+                        level, v = None, v.iloc[1:]
+                        parts.append(pd.Series([float("nan")], index=r.index[:1]))
+                    if len(v):
+                        series = v if level is None or pd.isna(level) else pd.concat([pd.Series([level]), v])
+                        e = series.ewm(alpha=alpha, adjust=False).mean().iloc[len(series) - len(v):]
+                        level = e.iloc[-1]
+                        parts.append(e)
+                out.append(pd.concat(parts))
+            yield b.assign(ema=pd.concat(out))[[*by, order, "_v", "ema"]]
+
+    types = dict(df.dtypes)
+    shape = ", ".join(f"`{c}` {types[c]}" for c in [*by, order]) + ", _v double, ema double"
+    done = rows.select(*names).mapInPandas(run, shape)
+    return done.select(*by, order, F.col("_v").alias(value), F.when(~F.isnan("ema"), F.col("ema")).alias("ema"))
 
 
 def curve_normalise(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
