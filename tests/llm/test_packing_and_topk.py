@@ -11,7 +11,8 @@ from tests.llm.rows import awkward, empty
 from weekloom.llm import packing, topk_search
 from weekloom.llm.queries import tokenizer_file
 
-AWKWARD_TEXTS = ["a\n\n b", "  lead", "x" * 3000, "don't  stop", "é\u00a0ü 漢字\r\n", "tail ", "1234,5.6!?", "\t\tif x:\n    y()", "a\u2003b", "Q.E.D.\n"]
+AWKWARD_TEXTS = ["a\n\n b", "  lead", "x" * 3000, "don't  stop", "é\u00a0ü 漢字\r\n", "tail ", "1234,5.6!?", "\t\tif x:\n    y()", "a\u2003b", "Q.E.D.\n",
+                 "a <|endoftext|> b", "a  <|endoftext|>\n\n<|endoftext|>x", "<|endoftext|>", "word<|endoftext|>.\t <|endoftext|><|endof", "text|> <|endof", "text|>"]
 
 
 def checked(docs, pieces, size=packing.SEQUENCE):

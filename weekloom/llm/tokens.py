@@ -12,10 +12,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
 from weekloom.llm.common import SpanHash
 
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 LONGEST = 64  # longer pieces are encoded each time
 
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -40,7 +41,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the strings of special tokens in a text are those tokens, as the tokenizer has it
+        self.special = sorted({t.content.encode() for t in self.tok.get_added_tokens_decoder().values()})
         self.hash = SpanHash()
         self._clear()
 
@@ -79,6 +81,19 @@ class CachedTokenizer:
         cut[1:] |= (before[1:] == 10) & _ASCII_LETTER[here[1:]] & _ASCII[before[:-1]] & ~_MAYBE_SPACE[before[:-1]]
         return np.flatnonzero(cut) + 1
 
+    def without_special(self, buffer: bytes, cuts: np.ndarray) -> np.ndarray:
+        """The cuts that lie neither inside a special token nor in the white space before it."""
+        for token in self.special:
+            at = buffer.find(token)
+            while at >= 0:
+                start, stop = at, at + len(token)
+                while start and _MAYBE_SPACE[buffer[start - 1]]:
+                    start -= 1
+                lo, hi = np.searchsorted(cuts, [start + 1, stop])
+                cuts = np.delete(cuts, np.s_[lo:hi])
+                at = buffer.find(token, stop)
+        return cuts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         raw = [t.encode() for t in texts]
@@ -87,16 +102,18 @@ class CachedTokenizer:
         if not buffer:
             return [b""] * len(texts)
         data = np.frombuffer(buffer, dtype=np.uint8)
-        starts = np.unique(np.concatenate([[0], self.cuts(data, ends[:-1]), ends[:-1]]))
+        starts = np.unique(np.concatenate([[0], self.without_special(buffer, self.cuts(data, ends[:-1])), ends[:-1]]))
         starts = starts[starts < len(data)]
         stops = np.append(starts[1:], len(data))
         long = np.flatnonzero(stops - starts > LONGEST)
         keys = self.hash(data, starts, stops)
         keys[long] = 0  # any one value; their rows are not used
-        distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        coded = pa.array(keys).dictionary_encode()
+        inverse, listed = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        where = np.empty(len(listed), np.int64)
+        where[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)  # first place of each
         if len(self.at) > CACHE_PIECES:
             self._clear()
-        listed = distinct.tolist()
         missing = [k for k, key in enumerate(listed) if key not in self.at]
         self._remember([listed[k] for k in missing], [buffer[starts[where[k]]: stops[where[k]]] for k in missing])
         rows = np.fromiter(map(self.at.__getitem__, listed), np.int64, len(listed))[inverse]
