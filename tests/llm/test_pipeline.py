@@ -55,3 +55,14 @@ def test_stages_on_awkward_and_empty_rows(spark):
             assert out.columns == docs.columns
             assert out.count() <= docs.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= docs.count()
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    from tests.llm.rows import PASSAGE, SCHEMA
+
+    other = "an entirely different text about rivers and bridges that nobody has copied from anywhere at all"
+    rows = [(3, PASSAGE), (5, PASSAGE), (5, other), (None, PASSAGE), (None, "one more text which stands alone and has no id whatsoever in this table"), (7, ""), (7, ""), (8, None), (2, PASSAGE + " now")]
+    docs = stored(spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], SCHEMA).repartition(3), "t-rows")
+    near = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    got = sorted(((r.doc_id, r.text) for r in near(spark, docs, SMALL).collect()), key=str)
+    assert got == sorted([(2, PASSAGE + " now"), (5, other), (None, rows[4][1]), (7, ""), (7, ""), (8, None)], key=str)
