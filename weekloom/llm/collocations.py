@@ -50,9 +50,9 @@ UNKNOWN = "und"
 SCALE = 2_000_000
 SHARES = 1024  # of the empty prefix, which all words follow, and of hot phrases
 HOT = 1024  # a phrase is hot from one position in so many on
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
 ROWS = 8_192
-BYTES = 4 << 20
+BYTES = 2 << 20
 FILTER_BITS = 1 << 26
 SLOT_BITS = 1 << 16
 CODED = "dictionary array<string>, codes binary, langs array<string>, lang binary"
@@ -177,36 +177,56 @@ def _formed(length: int, bits: np.ndarray | None, hot: np.ndarray):
                 row = b.slice(r, 1)
                 codes, lang = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("codes", "lang"))
                 yield from Chunk(row.column("dictionary").flatten(), codes, row.column("langs")[0].as_py(), lang).stripes(length, bits, hot)
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _merged(least: int):
-    """Stripes of one key are neighbours by the key's hash: their counters are added up, and each key is closed with its total."""
-    keys = ["h", "lang", "prefix"]
-
-    def closed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        total = t.filter(pc.equal(t["prefix"], "")).group_by(["lang", "prefix"]).aggregate([("a", "sum")])
-        yield from total.select(["lang", "prefix"]).append_column("next", pa.nulls(len(total), pa.string())).append_column("a", total["a_sum"]).to_batches()
-        yield from t.filter(pc.greater_equal(t["a"], least)).select(["lang", "prefix", "next", "a"]).to_batches(max_chunksize=ROWS)
-
+    """Stripes of one key are neighbours: their counters are added up, and each key is closed with its frequent entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held_key, held = None, None
+
+        def closed(t: pa.Table, langs: pa.Array, prefixes: pa.Array) -> Iterator[pa.RecordBatch]:
+            """Rows of (key number, next, a) with the names of the keys; the empty prefix gives its total, too."""
+            many = t.filter(pc.greater_equal(t["a"], least))
+            for c in many.to_batches(max_chunksize=ROWS):
+                yield pa.RecordBatch.from_arrays([langs.take(c["key"]), prefixes.take(c["key"]), c["next"], c["a"]], names=["lang", "prefix", "next", "a"])
+            empty = pc.equal(prefixes, "")
+            if pc.any(empty).as_py():
+                total = t.filter(empty.take(t["key"].combine_chunks())).group_by("key").aggregate([("a", "sum")])
+                for c in total.to_batches():
+                    yield pa.RecordBatch.from_arrays([langs.take(c["key"]), prefixes.take(c["key"]), pa.nulls(len(c), pa.string()), c["a_sum"]], names=["lang", "prefix", "next", "a"])
+
+        def last() -> Iterator[pa.RecordBatch]:
+            if held is not None:
+                yield from closed(held, pa.array([held_key[0]]), pa.array([held_key[1]]))
+
         for b in batches:
             if not b.num_rows:
                 continue
+            lang, prefix, h = b.column("lang"), b.column("prefix"), b.column("h")
+            change = np.ones(b.num_rows, bool)
+            change[1:] = ~np.logical_and.reduce([np.asarray(pc.equal(x[1:], x[:-1])) for x in (lang, prefix, h)])
+            key = (np.cumsum(change) - 1).astype(np.int32)
+            names = [x.take(pa.array(np.flatnonzero(change))) for x in (lang, prefix)]
             lists = pc.split_pattern(b.column("next"), " ")
             counts = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<i4").astype(np.int64)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(lists)))
-            t = pa.table([*[b.column(k).take(rows) for k in keys], lists.flatten(), pa.array(counts)], names=[*keys, "next", "a"])
-            if held is not None:
+            t = pa.table([pa.array(np.repeat(key, pc.list_value_length(lists))), lists.flatten(), pa.array(counts)], names=["key", "next", "a"])
+            first = (lang[0].as_py(), prefix[0].as_py(), h[0].as_py())
+            if held is not None and first == held_key:
                 t = pa.concat_tables([held, t])
-            t = t.group_by([*keys, "next"]).aggregate([("a", "sum")]).rename_columns([*keys, "next", "a"])
-            last = pc.equal(t["h"], b.column("h")[b.num_rows - 1])
-            held = t.filter(last)
-            yield from closed(t.filter(pc.invert(last)))
-        if held is not None:
-            yield from closed(held)
+            else:
+                yield from last()
+            t = t.group_by(["key", "next"], use_threads=False).aggregate([("a", "sum")]).select(["key", "next", "a_sum"]).rename_columns(["key", "next", "a"])
+            is_open = pc.equal(t["key"], int(key[-1]))
+            yield from closed(t.filter(pc.invert(is_open)), *names)
+            rest = t.filter(is_open)
+            held_key = (lang[-1].as_py(), prefix[-1].as_py(), h[-1].as_py())
+            held = pa.table([pa.array(np.zeros(len(rest), np.int32)), rest["next"], rest["a"]], names=["key", "next", "a"])
+            del t, lists, rest
+            pa.default_memory_pool().release_unused()
+        yield from last()
 
     return run
 
@@ -258,7 +278,7 @@ def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
 def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, hot: np.ndarray, least: int = LEAST) -> DataFrame:
     """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; without ``next`` shares of the empty prefix's total."""
     keyed = coded.mapInArrow(_formed(length, bits, hot), STRIPES).select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
-    return keyed.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(least), MERGED)
+    return keyed.repartition("h").sortWithinPartitions("h", "lang", "prefix").mapInArrow(_merged(least), MERGED)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
