@@ -1,5 +1,6 @@
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from tests.llm.rows import awkward, empty
 from weekloom.llm import collocations
 
 NONE = np.zeros(0, np.uint64)
-LOWERED = str.maketrans(collocations.UPPER, collocations.LOWER)
+LOWERED = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def brute(rows, least=30, top=2000):
@@ -90,14 +91,13 @@ def test_awkward_rows(spark):
 
 def test_chunks_of_a_task_add_up(monkeypatch):
     rows = [("en", t) for t in texts(8, 60)]
-    words = [re.findall(r"[^.,;:!?\x0A-\x0D\x20\x09]+|[.,;:!?\x0A-\x0D][.,;:!?\x0A-\x0D\x20\x09]*", t.translate(LOWERED)) for _, t in rows]
-    table = pa.table({"lang": ["en"] * len(words), "words": words})
+    table = pa.table({"lang": [lang for lang, _ in rows], "text": [t for _, t in rows]})
 
     def total(chunk):
-        monkeypatch.setattr(collocations, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(collocations, "CHUNK_BYTES", chunk)
         out = Counter()
         chunks = list(collocations._coded(iter(table.to_batches(max_chunksize=5))))
-        assert (len(chunks) > 5) == (chunk == 50)
+        assert (len(chunks) > 20) == (chunk == 50)
         for b in collocations._formed(1, None, NONE)(iter(chunks)):
             for r in b.to_pylist():
                 for w, n in zip(r["next"].split(" "), memoryview(r["counts"]).cast("i")):

@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import bounded_arrow, groups_of, mixed
 from weekloom.runtime import stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters that end a piece, and those between words.
-ENDS, GAPS = r".,;:!?\x0A-\x0D", r"\x20\x09"
-TOKENS = f"[^{ENDS}{GAPS}]+|[{ENDS}][{ENDS}{GAPS}]*"
+_ENDS, _GAPS = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?\n\x0b\x0c\r", b" \t"))
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A"): ord("Z") + 1] += 32
 LONGEST = 4
 LEAST = 30
 TOP = 2000
@@ -50,7 +50,7 @@ UNKNOWN = "und"
 SCALE = 2_000_000
 SHARES = 1024  # of the empty prefix, which all words follow, and of hot phrases
 HOT = 1024  # a phrase is hot from one position in so many on
-CHUNK_WORDS = 1 << 18
+CHUNK_BYTES = 2 << 20
 ROWS = 8_192
 BYTES = 2 << 20
 FILTER_BITS = 1 << 26
@@ -74,7 +74,7 @@ def _phrase_hashes(langs: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
 class Chunk:
     """The words of some documents behind each other, with their language and the piece they belong to.
 
-    ``codes`` numbers the words of ``dictionary``; -1 stands at the end of a piece and of a document.
+    ``codes`` numbers the words of ``dictionary``; -1 stands between pieces.
     """
 
     def __init__(self, dictionary: pa.Array, codes: np.ndarray, langs: list[str], lang: np.ndarray):
@@ -134,40 +134,35 @@ class Chunk:
             ], names=["lang", "prefix", "share", "next", "counts"])
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk of about ``CHUNK_WORDS`` words: its dictionary, word numbers, and the language of each."""
-    langs: list[str] = []
-    words: list[pa.Array] = []
-    sizes: list[np.ndarray] = []
+def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, number of the piece, number of the text) of some texts; all separators are ASCII, so bytes are cut."""
+    raw = [t.encode() for t in texts]
+    data = _LOWERED[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    end, inside = _ENDS[data], ~(_ENDS | _GAPS)[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, stops = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes()))
+    after = np.cumsum([len(r) + 1 for r in raw])
+    return words, np.cumsum(end)[starts], np.searchsorted(after, starts, side="right")
 
-    def chunk() -> Iterator[pa.RecordBatch]:
-        if not langs:
-            return
-        coded = pa.concat_arrays(words).dictionary_encode()
-        listed = coded.dictionary.to_pylist()
-        ends = np.fromiter((w[0] in ".,;:!?\n\x0b\x0c\r" for w in listed), bool, len(listed))
-        place = np.where(ends, -1, np.cumsum(~ends) - 1).astype("<i4")
-        counts = np.concatenate(sizes)
-        codes = np.insert(place[np.asarray(coded.indices)] if listed else np.zeros(0, "<i4"), np.cumsum(counts), -1)
-        names = sorted(set(langs))
-        number = {v: k for k, v in enumerate(names)}
-        lang = np.repeat(np.fromiter((number[v] for v in langs), "<i4", len(langs)), counts + 1)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([[w for w, e in zip(listed, ends.tolist()) if not e]], pa.list_(pa.string())), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-            pa.array([names], pa.list_(pa.string())), pa.array([lang.tobytes()], pa.binary())], names=["dictionary", "codes", "langs", "lang"])
-        for x in (langs, words, sizes):
-            x.clear()
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk of about ``CHUNK_BYTES``: its dictionary, word numbers, and the language of each."""
     for b in batches:
-        lists = b.column("words")
-        for lo, hi in groups_of(np.diff(np.asarray(lists.offsets)).tolist(), CHUNK_WORDS):
-            part = lists[lo:hi]
-            langs.extend(b.column("lang")[lo:hi].to_pylist())
-            words.append(part.flatten())
-            sizes.append(np.diff(np.asarray(part.offsets)))
-            if sum(map(len, words)) >= CHUNK_WORDS:
-                yield from chunk()
-    yield from chunk()
+        langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+        for lo, hi in groups_of([len(t) for t in texts], CHUNK_BYTES):
+            words, piece, text = _cut(texts[lo:hi])
+            coded = words.dictionary_encode()
+            names = sorted(set(langs[lo:hi]))
+            number = {v: k for k, v in enumerate(names)}
+            lang = np.fromiter((number[v] for v in langs[lo:hi]), "<i4", hi - lo)[text]
+            between = np.flatnonzero(np.diff(piece)) + 1
+            codes = np.insert(np.asarray(coded.indices), between, -1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([
+                pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()),
+                pa.array([names], pa.list_(pa.string())), pa.array([np.insert(lang, between, 0).astype("<i4").tobytes()], pa.binary()),
+            ], names=["dictionary", "codes", "langs", "lang"])
 
 
 def _formed(length: int, bits: np.ndarray | None, hot: np.ndarray):
@@ -263,9 +258,8 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
 
 def coded_chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The stored word numbers of all documents, one row per chunk."""
-    lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.regexp_extract_all(lowered, F.lit(TOKENS), F.lit(0)).alias("words"))
-    return stored(words.mapInArrow(_coded, CODED), "coded")
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return stored(rows.mapInArrow(_coded, CODED), "coded")
 
 
 def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
