@@ -75,11 +75,11 @@ def test_limits_and_hot_prefix(spark):
     rows = [("en", f"hot w{i % 700} hot w{i % 11}") for i in range(4000)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(9)
     checked(docs, least=5, top=40)
-    coded = collocations.coded_chunks(docs)
+    texts = collocations.lang_texts(docs)
     hot = collocations._phrase_hashes(collocations._word_hashes(["en"]), [collocations._word_hashes(["hot"])])
     every = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
     for length, keys in ((1, NONE), (2, hot)):
-        formed = coded.mapInArrow(collocations._formed(length, every if length > 1 else None, keys), collocations.STRIPES)
+        formed = texts.mapInArrow(collocations._formed(length, every if length > 1 else None, keys), collocations.STRIPES)
         assert formed.filter(F.col("prefix") == ("" if length == 1 else "hot")).select("share").distinct().count() > 300
 
 
@@ -96,9 +96,9 @@ def test_chunks_of_a_task_add_up(monkeypatch):
     def total(chunk):
         monkeypatch.setattr(collocations, "CHUNK_BYTES", chunk)
         out = Counter()
-        chunks = list(collocations._coded(iter(table.to_batches(max_chunksize=5))))
-        assert (len(chunks) > 20) == (chunk == 50)
-        for b in collocations._formed(1, None, NONE)(iter(chunks)):
+        batches = list(collocations._formed(1, None, NONE)(iter(table.to_batches(max_chunksize=5))))
+        assert (len(batches) > 20) == (chunk == 50)
+        for b in batches:
             for r in b.to_pylist():
                 for w, n in zip(r["next"].split(" "), memoryview(r["counts"]).cast("i")):
                     out[w] += n

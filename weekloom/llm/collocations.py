@@ -1,13 +1,13 @@
 """Phrase collocations by stripes.
 
 A stripe is the counter of the words that follow a prefix; a prefix has none to
-three words. The texts are cut into words and numbered once, in stored chunks of documents. A
-task forms the stripes of a chunk over these numbers, and sends them under (language, prefix, share), where a share holds the
-next words of one hash residue, so the stripe of a very common prefix is spread.
-Stripes of one key are merged element by element. A merged stripe gives the counts
-of the extended phrases, the total of its prefix (a null entry counts what is not
-extended), and the largest extension, which decides whether the prefix is part of
-a longer phrase.
+three words. A task cuts the texts of a chunk of documents into words, forms its
+stripes over word numbers of its own, and sends them under (language, prefix,
+share): the stripe of a hot prefix is spread over shares by the hashes of its next
+words, any other has one share. Stripes of one key are merged element by element.
+The merged stripes hold the counts of all extended phrases; the total of a prefix is
+its own entry one level up, and the largest extension decides whether it is part
+of a longer phrase.
 
 Lengths are taken one after another. A phrase can only reach the least count if
 the phrases without its first and without its last word do, so a position is
@@ -50,12 +50,11 @@ UNKNOWN = "und"
 SCALE = 2_000_000
 SHARES = 1024  # of the empty prefix, which all words follow, and of hot phrases
 HOT = 1024  # a phrase is hot from one position in so many on
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 ROWS = 8_192
-BYTES = 2 << 20
+BYTES = 4 << 20
 FILTER_BITS = 1 << 26
 SLOT_BITS = 1 << 16
-CODED = "dictionary array<string>, codes binary, langs array<string>, lang binary"
 STRIPES = "lang string, prefix string, share int, next string, counts binary"  # next words joined by spaces, 32-bit counts
 MERGED = "lang string, prefix string, next string, a bigint"
 
@@ -71,18 +70,31 @@ def _phrase_hashes(langs: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-class Chunk:
-    """The words of some documents behind each other, with their language and the piece they belong to.
+def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, number of the piece, number of the text) of some texts; all separators are ASCII, so bytes are cut."""
+    raw = [t.encode() for t in texts]
+    data = _LOWERED[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    end, inside = _ENDS[data], ~(_ENDS | _GAPS)[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, stops = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes()))
+    after = np.cumsum([len(r) + 1 for r in raw])
+    return words, np.cumsum(end)[starts], np.searchsorted(after, starts, side="right")
 
-    ``codes`` numbers the words of ``dictionary``; -1 stands between pieces.
-    """
 
-    def __init__(self, dictionary: pa.Array, codes: np.ndarray, langs: list[str], lang: np.ndarray):
-        word = codes >= 0
-        self.dictionary, self.langs = dictionary, langs
-        self.words, self.piece, self.lang = codes[word].astype(np.int64), np.cumsum(~word)[word], lang[word].astype(np.int64)
-        self.hashes = _word_hashes(dictionary.to_pylist())
-        self.lang_hashes = _word_hashes(langs)
+class Chunk:
+    """The words of some documents behind each other, with their language and the piece they belong to."""
+
+    def __init__(self, langs: list[str], texts: list[str]):
+        words, self.piece, text = _cut(texts)
+        coded = words.dictionary_encode()
+        self.dictionary, self.words = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        self.langs = sorted(set(langs))
+        number = {v: k for k, v in enumerate(self.langs)}
+        self.lang = np.fromiter((number[v] for v in langs), np.int64, len(langs))[text]
+        self.hashes = _word_hashes(self.dictionary.to_pylist())
+        self.lang_hashes = _word_hashes(self.langs)
 
     def whole(self, length: int) -> np.ndarray:
         """Positions at which ``length`` words of one piece start."""
@@ -134,44 +146,12 @@ class Chunk:
             ], names=["lang", "prefix", "share", "next", "counts"])
 
 
-def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(words, number of the piece, number of the text) of some texts; all separators are ASCII, so bytes are cut."""
-    raw = [t.encode() for t in texts]
-    data = _LOWERED[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    end, inside = _ENDS[data], ~(_ENDS | _GAPS)[data]
-    edges = np.flatnonzero(np.diff(inside, prepend=False))
-    starts, stops = edges[::2], edges[1::2]
-    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes()))
-    after = np.cumsum([len(r) + 1 for r in raw])
-    return words, np.cumsum(end)[starts], np.searchsorted(after, starts, side="right")
-
-
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk of about ``CHUNK_BYTES``: its dictionary, word numbers, and the language of each."""
-    for b in batches:
-        langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-        for lo, hi in groups_of([len(t) for t in texts], CHUNK_BYTES):
-            words, piece, text = _cut(texts[lo:hi])
-            coded = words.dictionary_encode()
-            names = sorted(set(langs[lo:hi]))
-            number = {v: k for k, v in enumerate(names)}
-            lang = np.fromiter((number[v] for v in langs[lo:hi]), "<i4", hi - lo)[text]
-            between = np.flatnonzero(np.diff(piece)) + 1
-            codes = np.insert(np.asarray(coded.indices), between, -1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([
-                pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()),
-                pa.array([names], pa.list_(pa.string())), pa.array([np.insert(lang, between, 0).astype("<i4").tobytes()], pa.binary()),
-            ], names=["dictionary", "codes", "langs", "lang"])
-
-
 def _formed(length: int, bits: np.ndarray | None, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                row = b.slice(r, 1)
-                codes, lang = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("codes", "lang"))
-                yield from Chunk(row.column("dictionary").flatten(), codes, row.column("langs")[0].as_py(), lang).stripes(length, bits, hot)
+            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+            for lo, hi in groups_of([len(t) for t in texts], CHUNK_BYTES):
+                yield from Chunk(langs[lo:hi], texts[lo:hi]).stripes(length, bits, hot)
                 pa.default_memory_pool().release_unused()
 
     return run
@@ -256,10 +236,9 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def coded_chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The stored word numbers of all documents, one row per chunk."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(_coded, CODED), "coded")
+def lang_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, text) without nulls."""
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
@@ -269,19 +248,19 @@ def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
     return _phrase_hashes(_word_hashes([r.lang for r in rows]), [_word_hashes([p[k] for p in parts]) for k in range(len(parts[0]) if parts else 0)])
 
 
-def merged_stripes(coded: DataFrame, length: int, bits: np.ndarray | None, hot: np.ndarray, least: int = LEAST) -> DataFrame:
+def merged_stripes(texts: DataFrame, length: int, bits: np.ndarray | None, hot: np.ndarray, least: int = LEAST) -> DataFrame:
     """Merged stripes of one prefix length: (lang, prefix, next, a) of the frequent extensions; without ``next`` shares of the empty prefix's total."""
-    keyed = coded.mapInArrow(_formed(length, bits, hot), STRIPES).select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
+    keyed = texts.mapInArrow(_formed(length, bits, hot), STRIPES).select(F.xxhash64("lang", "prefix", "share").alias("h"), "lang", "prefix", "next", "counts")
     return keyed.repartition("h").sortWithinPartitions("h", "lang", "prefix").mapInArrow(_merged(least), MERGED)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     bounded_arrow(docs.sparkSession, ROWS, BYTES)
-    coded = coded_chunks(docs, lang_col, text_col)
+    texts = lang_texts(docs, lang_col, text_col)
     phrases, bits, hot = [], None, np.zeros(0, np.uint64)
     for length in range(1, longest + 1):
-        stripes = stored(merged_stripes(coded, length, bits, hot, least), f"stripes{length}")
+        stripes = stored(merged_stripes(texts, length, bits, hot, least), f"stripes{length}")
         if length == 1:
             totals = stored(stripes.filter("next IS NULL").groupBy("lang").agg(F.sum("a").alias("n")), "totals")
             words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
