@@ -23,7 +23,7 @@ from weekloom.operators import blend, evaluate, learn
 from weekloom.operators.drift import edge_bin, quantile_edges
 from weekloom.sources.models import ModelStore
 
-AT_ONCE = 4
+AT_ONCE = 2
 ROWS_PER_TASK = 50_000
 LEARNERS = ("boosted", "forest")
 
