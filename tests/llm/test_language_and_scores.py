@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.rows import TEXTS, awkward, empty
@@ -21,8 +22,29 @@ def test_gradients_by_differences():
 
     p = net.positions(data)[0]
     assert p.shape == (6, 3, 5) and np.allclose(p.sum(1), 1, atol=1e-5)
-    value = net.gradients(data, label, weight)[0]
+    value, parts = net.gradients(data, label, weight)
     assert math.isclose(value, loss(), rel_tol=1e-4)
+    assert [id(p) for p, _ in parts] == [id(net.out), id(net.ahead.p), id(net.behind.p)]
+    # 64-bit parameters, so that a difference of losses is exact enough
+    for params, _ in parts:
+        for name in params:
+            params[name] = params[name].astype(np.float64)
+    checked = 0
+    for params, found in parts:
+        assert set(found) == set(params)
+        for name, p in params.items():
+            columns = range(97, 105) if name == "x" else range(p.shape[1])  # bytes that occur
+            for i in range(p.shape[0]):
+                for j in columns:
+                    was = p[i, j]
+                    p[i, j] = was + 1e-2
+                    high = loss()
+                    p[i, j] = was - 1e-2
+                    low = loss()
+                    p[i, j] = was
+                    assert found[name][i, j] == pytest.approx((high - low) / 2e-2, abs=2e-4), (name, i, j)
+                    checked += 1
+    assert checked > 300
 
 
 def test_held_out_accuracy(spark):
