@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.dates import span_text
-from weekloom.functions.numbers import blend, capped_high, capped_low
+from weekloom.functions.numbers import blend, capped_high, capped_low, floor_zero
 from weekloom.operators import blend as blending
 from weekloom.operators import features, joins, weekly
 from weekloom.operators.tidy import in_list, in_range
@@ -49,10 +49,17 @@ def prediction_payload(history: DataFrame, week_rows: DataFrame, codes: DataFram
     return built.filter(F.col("week_start") == newest)
 
 
-def predict_interval(df: DataFrame, factors: DataFrame, weight: float) -> DataFrame:
-    """Blend of two learners' (lower, median, upper), area bias on all three, then ordered bounds."""
-    out = df.withColumns({q: blend(f"a_{q}", f"b_{q}", weight) for q in ("lower", "median", "upper")})
-    return blending.ordered_interval(blending.apply_bias(out, factors, ["lower", "median", "upper"]))
+def predict_interval(df: DataFrame, factors: DataFrame, weight: float, back: str | None = None) -> DataFrame:
+    """Blend of two learners' (lower, median, upper), area bias on all three, then ordered bounds.
+
+    ``back`` names the seasonal mean plus trend of rows whose learners forecast what is left
+    above them; it is added to the blend, never below zero, before the bias. NULL adds nothing.
+    """
+    bounds = ("lower", "median", "upper")
+    out = df.withColumns({q: blend(f"a_{q}", f"b_{q}", weight) for q in bounds})
+    if back:
+        out = out.withColumns({q: floor_zero(F.col(q) + F.coalesce(F.col(back), F.lit(0.0))) for q in bounds})
+    return blending.ordered_interval(blending.apply_bias(out, factors, list(bounds)))
 
 
 def predict_totals(intervals: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weekloom.constants import MODEL_FEATURES, WEEKLY_CLIMATE
-from weekloom.operators import blend, ensemble, explain, learn, weekly
+from weekloom.operators import blend, ensemble, explain, learn, seasonal, weekly
 from weekloom.operators.joins import keep_last
 from weekloom.plans import serving
 from weekloom.registry.base import out, query, show
+from weekloom.registry.quality import SEASONAL
 from weekloom.registry.sql import climate_agg, view
 from weekloom.runtime import new_folder
 from weekloom.streaming import weekly as stream
@@ -280,35 +281,44 @@ def prediction_payload(v):
     return show(serving.prediction_payload(panel, week, v.codes), KEY, _PAYLOAD)
 
 
+NORMALISED = ["chickenpox"]  # diseases whose learners forecast what is left above season and trend
+
+
 def _intervals(v):
     f = v.kept_forecasts
-    both = f.withColumns({
+    back = F.when(F.col("disease").isin(NORMALISED), F.col("seasonal_mean") + F.col("trend")).otherwise(0.0)
+    rest = seasonal.seasonal_normalise(f).withColumn("back", back).withColumns({"a": F.col("a") - F.col("back"), "b": F.col("b") - F.col("back")})
+    both = rest.withColumns({
         "a_lower": F.expr("a * 0.5"), "a_median": F.col("a"), "a_upper": F.expr("a * 1.5 + 0.2"),
         "b_lower": F.expr("b * 0.6"), "b_median": F.col("b"), "b_upper": F.expr("b * 1.4 + 0.1")})
     factors = blend.district_bias(f.filter("split = 'val'"), p="b")
-    return serving.predict_interval(both.filter("split = 'test'"), factors, 0.3)
+    return serving.predict_interval(both.filter("split = 'test'"), factors, 0.3, "back")
 
 
-_INTERVAL = {"iv": """SELECT disease, district, week_start, least(l, m) AS lower, m AS median, greatest(u, m) AS upper FROM (
-  SELECT f.disease, f.district, week_start, greatest(a * 0.5 * 0.3 + b * 0.6 * 0.7, 0) * coalesce(k, 1) AS l, greatest(a * 0.3 + b * 0.7, 0) * coalesce(k, 1) AS m,
-    greatest((a * 1.5 + 0.2) * 0.3 + (b * 1.4 + 0.1) * 0.7, 0) * coalesce(k, 1) AS u
-  FROM forecasts f LEFT JOIN (SELECT disease, district, greatest(0.3, least(4.0, quantile_cont(CASE WHEN b > 0.5 THEN target / b ELSE 1.0 END, 0.5))) AS k
+_INTERVAL = {**SEASONAL, "nf": """SELECT f.* REPLACE (a - back AS a, b - back AS b) FROM (
+  SELECT f.*, CASE WHEN f.disease = 'chickenpox' THEN r.seasonal_mean + l.intercept + l.slope * f.week_index ELSE 0 END AS back FROM forecasts f
+  JOIN res r ON f.disease = r.disease AND f.district = r.district AND f.week_start = r.week_start JOIN line l ON f.disease = l.disease) f""",
+"iv": """SELECT disease, district, week_start, least(l, m) AS lower, m AS median, greatest(u, m) AS upper FROM (
+  SELECT f.disease, f.district, week_start, greatest(greatest(a * 0.5 * 0.3 + b * 0.6 * 0.7, 0) + back, 0) * coalesce(k, 1) AS l,
+    greatest(greatest(a * 0.3 + b * 0.7, 0) + back, 0) * coalesce(k, 1) AS m,
+    greatest(greatest((a * 1.5 + 0.2) * 0.3 + (b * 1.4 + 0.1) * 0.7, 0) + back, 0) * coalesce(k, 1) AS u
+  FROM nf f LEFT JOIN (SELECT disease, district, greatest(0.3, least(4.0, quantile_cont(CASE WHEN b > 0.5 THEN target / b ELSE 1.0 END, 0.5))) AS k
     FROM forecasts WHERE split = 'val' GROUP BY ALL) q ON f.disease = q.disease AND f.district = q.district WHERE split = 'test')"""}
 
 
-@query("predict_interval", view("forecasts", f"SELECT {out(KEY, ['lower', 'median', 'upper'])} FROM iv", _INTERVAL))
+@query("predict_interval", view(("series", "forecasts"), f"SELECT {out(KEY, ['lower', 'median', 'upper'])} FROM iv", _INTERVAL))
 def predict_interval(v):
     return show(_intervals(v), KEY, ["lower", "median", "upper"])
 
 
-@query("predict_totals", view("forecasts", """
+@query("predict_totals", view(("series", "forecasts"), """
 SELECT disease, week_start, round(sum(lower), 6) AS lower, round(sum(median), 6) AS median, round(sum(upper), 6) AS upper, CAST(count(*) AS BIGINT) AS districts,
   strftime(week_start, '%Y-%m-%d') || ' to ' || strftime(CAST(week_start + 6 AS DATE), '%Y-%m-%d') AS week_range FROM iv GROUP BY ALL""", _INTERVAL))
 def predict_totals(v):
     return show(serving.predict_totals(_intervals(v)), ["disease", "week_start", "districts", "week_range"], ["lower", "median", "upper"])
 
 
-@query("planning_total", view("forecasts", """
+@query("planning_total", view(("series", "forecasts"), """
 SELECT disease, week_start, CAST(sum(round_even(CASE WHEN median - lower > 0 THEN median - 0.5 * (median - lower) ELSE lower END, 0)) AS BIGINT) AS total_low,
   CAST(sum(round_even(CASE WHEN upper - median > 0 THEN median + 0.5 * (upper - median) ELSE upper END, 0)) AS BIGINT) AS total_high,
   round(sum(median), 6) AS total_median FROM iv GROUP BY ALL""", _INTERVAL))

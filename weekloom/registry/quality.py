@@ -78,7 +78,7 @@ def late_mean(v):
     return show(seasonal.late_mean(v.series.filter("split = 'train'")), ["disease", "district"], ["late_mean"])
 
 
-_SEASONAL = {
+SEASONAL = {
     "res": """SELECT s.*, coalesce(f.m, c.m, r.m) AS seasonal_mean
 FROM series s LEFT JOIN (SELECT disease, avg(m) AS m FROM (SELECT disease, avg(target) AS m FROM series WHERE split = 'train' GROUP BY disease, week_number) GROUP BY disease) r
   ON s.disease = r.disease LEFT JOIN (SELECT disease, district, week_number, avg(target) AS m FROM series WHERE split = 'train' GROUP BY ALL) f
@@ -89,7 +89,7 @@ FROM res WHERE split = 'train' GROUP BY disease""",
 }
 
 
-@query("linear_trend", view("series", "SELECT disease, round(slope, 9) AS slope, round(intercept, 6) AS intercept FROM line", _SEASONAL))
+@query("linear_trend", view("series", "SELECT disease, round(slope, 9) AS slope, round(intercept, 6) AS intercept FROM line", SEASONAL))
 def linear_trend(v):
     rows = seasonal.with_seasonal_mean(v.kept_series).filter("split = 'train'")
     df = seasonal.linear_trend(rows.withColumn("residual", F.col("target") - F.col("seasonal_mean")))
@@ -98,7 +98,7 @@ def linear_trend(v):
 
 @query("seasonal_normalise", view("series", """
 SELECT disease, district, week_start, round(seasonal_mean, 6) AS seasonal_mean, round(intercept + slope * week_index, 6) AS trend,
-  round(target - seasonal_mean - (intercept + slope * week_index), 6) AS normalised, CAST(target AS DOUBLE) AS restored FROM res JOIN line USING (disease)""", _SEASONAL))
+  round(target - seasonal_mean - (intercept + slope * week_index), 6) AS normalised, CAST(target AS DOUBLE) AS restored FROM res JOIN line USING (disease)""", SEASONAL))
 def seasonal_normalise(v):
     df = seasonal.add_back(seasonal.seasonal_normalise(v.kept_series))
     return show(df, KEY, ["seasonal_mean", "trend", "normalised", "restored"])
