@@ -101,6 +101,36 @@ def test_line_dedup_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_follows_chains(spark):
+    """Chains of lines in which each is near its neighbours only: every link counts."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for c in range(40):
+        line = [r.choice(words) for _ in range(36)]
+        for k in range(8):
+            rows.append((10 * c + k, " ".join(line)))
+            line[r.randrange(36)] = r.choice(words)
+            if c % 2:
+                line[r.randrange(36)] = r.choice(words)
+    got = {(x.row.doc_id, x.row.text): x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_of_a_common_frame(spark):
+    """One frame in many lines: different in a few words only, some near and some not."""
+    r = random.Random(5)
+    frame = [f"word{k:02d}" for k in range(30)]
+    rows = []
+    for i in range(150):
+        line = list(frame)
+        for k in r.sample(range(30), r.randint(1, 3)):
+            line[k] = f"x{r.randrange(10**6):06d}"
+        rows.append((i, " ".join(line)))
+    got = {(x.row.doc_id, x.row.text): x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_line_dedup_awkward_rows(spark):
     got = dedup_lines(awkward(spark)).collect()
     assert len(got) == len(TEXTS)

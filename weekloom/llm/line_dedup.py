@@ -1,12 +1,19 @@
-"""Fuzzy line dedup by MinHash, in DataFrame expressions only.
+"""Fuzzy line dedup by an exact similarity join of shingle sets.
 
 A line's shingles are the 16 characters from every place that no ASCII letter
-precedes (word starts, every place of unspaced scripts) and its last 16. 24
-MinHash values in eight bands of three find candidates (a pair at similarity 0.8
-shares a band with probability 0.997); within a band's bucket every line is
-compared with the bucket's smallest. Exact Jaccard similarity of the shingle sets
-confirms, distributed union-find joins the links, and of each component the first
-line by (id, place) stays in the corpus.
+precedes (word starts, every place of unspaced scripts) and its last 16. Two lines
+link when the Jaccard similarity of their sets is 0.8 or more. A set of n shares
+ceil(0.8 n) of them with any partner, so it offers the others and one more, the
+rarest first: partners share an offered shingle. "Rare" means the order of a
+fixed-size counter table over a sixteenth of the lines, which decides the order of
+the search only, not its result.
+
+ 1. every line of a bucket (the lines that offer a shingle) is compared with one
+    line of it, another one in each bucket; links make groups;
+ 2. in buckets with lines of several groups, all lines of different groups are
+    compared, so a bucket of near copies is not expanded into its pairs;
+ 3. exact similarity confirms, distributed union-find joins the links, and of each
+    component the first line by (id, place) stays in the corpus.
 
 Lines are compared without case and outer blanks. Lines under 16 characters are
 left alone. Copies of a line are counted before anything is shuffled, so a line
@@ -22,22 +29,26 @@ Defined results
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.common import bounded_arrow, summed_table, table_rows
 from weekloom.llm.components import connected
 from weekloom.runtime import stored
 
 SHINGLE = 16
-BANDS, ROWS = 8, 3
-SIMILARITY = 0.8
+COUNTERS = 1 << 20
+SLOTS = 8  # pieces of the counter table
+COUNTED = 16  # one line in so many is counted
+SEEN = 1 << 20  # lines a task remembers, so that copies offer their shingles once
 LIGHT_ROWS = 1_000_000
 
 # A match starts at a place, keeps the shingle and runs on to the next place, so nothing is searched between matches.
 PLACES = rf"(?s)(?=(.{{{SHINGLE}}}))[a-z]*+.?"
-_MASKS = [random.Random(17 + i).getrandbits(32) - (1 << 31) for i in range(BANDS * ROWS)]
 
 
 def _plain(line: Column) -> Column:
@@ -48,11 +59,15 @@ def _shingles(plain: Column) -> Column:
     return F.array_append(F.regexp_extract_all(plain, F.lit(PLACES), F.lit(1)), F.right(plain, F.lit(SHINGLE)))
 
 
-def shingle_numbers(plain: Column) -> Column:
-    """Hashes of the shingles of a line of 16 characters or more."""
+def _hashes(plain: Column) -> Column:
     return F.transform(_shingles(plain), lambda s: F.xxhash64(s))
 
 
+def shingle_numbers(plain: Column) -> Column:
+    """Distinct hashes of the shingles of a line of 16 characters or more."""
+    return F.array_distinct(_hashes(plain))
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_hash, place, line, plain) of every line that takes part."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
@@ -61,18 +76,127 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "line", F.xxhash64("plain"))
 
 
-def _banded(occurrences: DataFrame) -> DataFrame:
-    """Distinct lines with their band keys; all MinHash values are minima of one aggregate over exploded shingles."""
-    h = occurrences.select("line", F.explode(_shingles(F.col("plain"))).alias("s")).select("line", F.hash("s").alias("h"))
-    least = h.groupBy("line").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
-    return least.select("line", *[F.xxhash64(*[f"m{i}" for i in range(ROWS * b, ROWS * (b + 1))], F.lit(b)).alias(f"b{b}") for b in range(BANDS)])
-
-
-def _candidates(banded: DataFrame) -> DataFrame:
-    """Distinct (a, b): a line and the smallest line of one of its buckets."""
-    rows = banded.select("line", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("z")).filter("a <> z").select(F.col("band").alias("bucket"), "a")
-    return rows.join(buckets, F.col("band") == F.col("bucket")).filter("line <> a").select("a", F.col("line").alias("b")).distinct()
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of every element of the lists ``s``."""
+    lists = b.column("s")
+    return np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten()).view(np.uint64)
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    waiting: list[np.ndarray] = []
+    for b in batches:
+        waiting.append(_slots(_flat(b)[1]))
+        if sum(map(len, waiting)) >= COUNTERS:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+            waiting = []
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+    yield table_rows(counts, SLOTS)
+
+
+def _offered(counters):
+    """(shingle, line, place) of the shingles a set of n offers; ``place`` is n and the place in the set's order in one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counters.value
+        seen: set[int] = set()
+        for b in batches:
+            if len(seen) >= SEEN:
+                seen.clear()
+            lines = b.column("line").to_pylist()
+            first = []
+            for i, line in enumerate(lines):
+                if line not in seen:
+                    seen.add(line)
+                    first.append(i)
+            b = b.take(pa.array(first, pa.int64()))
+            row, s = _flat(b)
+            key = row << 32 | table[_slots(s)]
+            order = np.lexsort((s, key))
+            row, s = row[order], s[order]
+            new = np.ones(len(s), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1])
+            row, s = row[new], s[new]
+            n = np.bincount(row, minlength=b.num_rows)
+            at = np.arange(len(s)) - (np.cumsum(n) - n)[row]
+            n = n[row]
+            kept = at < n + -4 * n // 5 + 1  # n - ceil(0.8 n) + 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array(s[kept].view(np.int64)), pa.array(np.asarray(b.column("line"))[row[kept]]), pa.array((n << 32 | at)[kept])], names=["shingle", "line", "place"])
+
+    return run
+
+
+def _fits(n_a, at_a, n_b, at_b):
+    """Whether two sets whose first shared shingle has these places can be similar: 0.8 is 9 |A and B| >= 4 (|A| + |B|)."""
+    return 9 * np.minimum(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct postings of buckets with two lines or more, from rows sorted by (shingle, line); a bucket may span batches.
+
+    ``centre`` has the bucket's smallest number after the shingle is mixed in, so that a line
+    of many buckets meets a different one in each; ``fits`` tells whether the two can be similar.
+    """
+    tail: list[np.ndarray] | None = None
+
+    def buckets(cols: list[np.ndarray]):
+        s, line, place = cols
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
+        s, line, place = s[new], line[new], place[new]
+        _, starts, inverse, held = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
+        held = held[inverse]
+        many = held > 1
+        mixed = line ^ s
+        low = np.minimum.reduceat(mixed, starts)[inverse]
+        at_centre = np.maximum.reduceat(np.where(mixed == low, place, -1), starts)[inverse]
+        n, at = place >> 32, place & 0xFFFFFFFF
+        fits = _fits(n, at, at_centre >> 32, at_centre & 0xFFFFFFFF) & (mixed != low)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x[many]) for x in (s, line, n, at, held, low ^ s, fits)], names=["shingle", "line", "n", "at", "held", "centre", "fits"])
+
+    for b in batches:
+        cols = [np.asarray(b.column(c)) for c in ("shingle", "line", "place")]
+        if tail is not None:
+            cols = [np.concatenate([t, c]) for t, c in zip(tail, cols)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+        if cut:
+            yield buckets([c[:cut] for c in cols])
+        tail = [c[cut:] for c in cols]
+    if tail is not None:
+        yield buckets(tail)
+
+
+def _buckets(occurrences: DataFrame) -> DataFrame:
+    """(shingle, line, n, at, held, centre, fits) of the offered shingles that two lines or more offer."""
+    spark = occurrences.sparkSession
+    bounded_arrow(spark)
+    hashed = lambda df: df.select("line", _hashes(F.col("plain")).alias("s"))
+    tables = hashed(occurrences.filter(F.pmod("line", F.lit(COUNTED)) == 0)).mapInArrow(_counted, "slot int, salt int, counts binary")
+    counters = spark.sparkContext.broadcast(summed_table(tables, COUNTERS, SLOTS))
+    offered = hashed(occurrences).mapInArrow(_offered(counters), "shingle bigint, line bigint, place bigint")
+    return offered.repartition("shingle").sortWithinPartitions("shingle", "line").mapInArrow(
+        _shared, "shingle bigint, line bigint, n bigint, at bigint, held bigint, centre bigint, fits boolean")
+
+
+def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b) of lines of one bucket and different groups whose sizes and places allow the similarity."""
+    of = roots.withColumnRenamed("id", "line")
+    grouped = stored(shared.filter("held > 2").select("shingle", "line", "n", "at").join(of, "line", "left").withColumn(
+        "root", F.coalesce("root", "line")), "line-groups")
+    several = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+    rows = stored(grouped.join(several, "shingle", "left_semi"), "line-rest")
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("line", "n", "at", "root")]) for side in "ab")
+    met = a.join(b, "shingle").filter("root_a < root_b AND 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")  # as _fits
+    return met.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
 
 
 def _light(df: DataFrame, rows: int) -> DataFrame:
@@ -80,15 +204,23 @@ def _light(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= LIGHT_ROWS else df
 
 
-def line_links(occurrences: DataFrame) -> DataFrame:
-    """(a, b) of lines whose shingle sets have a similarity of 0.8 or more. The occurrences are read twice."""
-    pairs = stored(_candidates(stored(_banded(occurrences), "bands")), "line-pairs")
+def _confirmed(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more; the texts are moved, as they are shorter than the sets."""
     wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line-ids")
     some = occurrences.select("line", "plain").join(_light(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.min("plain").alias("plain"))
-    sets = stored(some.select("line", F.array_distinct(shingle_numbers(F.col("plain"))).alias("s")), "line-sets")
-    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("line").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb") - common).alias("all")).filter(F.col("n") >= SIMILARITY * F.col("all")).select("a", "b")
+    texts = stored(some, "line-texts")
+    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("plain").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("plain").alias("tb")), "b")
+    sets = F.array(F.struct(shingle_numbers(F.col("ta")).alias("a"), shingle_numbers(F.col("tb")).alias("b")))  # evaluated once
+    return both.filter(F.exists(sets, lambda s: 9 * F.size(F.array_intersect(s.a, s.b)) >= 4 * (F.size(s.a) + F.size(s.b)))).select("a", "b")
+
+
+def line_links(occurrences: DataFrame) -> DataFrame:
+    """(a, b) of links with the components of all pairs of lines whose shingle sets have a similarity of 0.8 or more."""
+    shared = stored(_buckets(occurrences), "shared")
+    near = stored(shared.filter("fits").select(F.col("centre").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
+    links = stored(_confirmed(near, occurrences), "centre-links")
+    across = stored(_across(shared, connected(links, "a", "b")), "pairs-across")
+    return links if across.isEmpty() else links.union(_confirmed(across, occurrences))
 
 
 def removed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
