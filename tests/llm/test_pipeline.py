@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import duckdb
@@ -57,6 +58,21 @@ def test_stages_on_awkward_and_empty_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= docs.count()
 
 
+def test_line_stage_follows_chains(spark):
+    """Documents of one line, each near its neighbours only: the first of each chain stays."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for c in range(40):
+        line = [r.choice(words) for _ in range(36)]
+        for k in range(8):
+            rows.append((10 * c + k, " ".join(line)))
+            line[r.randrange(36)] = r.choice(words)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "length(text) + 0L AS n_chars")
+    got = dict(corpus_pipeline.line_stage(spark, docs, SMALL).select("doc_id", "text").collect())
+    assert got == {i: t for (i, _), t in brute_lines(rows).items() if t}
+
+
 def test_near_stage_keeps_one_row_of_each_group(spark):
     from tests.llm.rows import PASSAGE, SCHEMA
 
