@@ -1,4 +1,6 @@
+import cProfile
 import math
+import pstats
 import random
 from collections import defaultdict
 
@@ -10,6 +12,7 @@ from tests.conftest import SMALL
 from tests.llm.rows import awkward, empty
 from weekloom.llm import packing, topk_search
 from weekloom.llm.queries import tokenizer_file
+from weekloom.llm.tokens import CachedTokenizer
 
 AWKWARD_TEXTS = ["a\n\n b", "  lead", "x" * 3000, "don't  stop", "é\u00a0ü 漢字\r\n", "tail ", "1234,5.6!?", "\t\tif x:\n    y()", "a\u2003b", "Q.E.D.\n",
                  "a <|endoftext|> b", "a  <|endoftext|>\n\n<|endoftext|>x", "<|endoftext|>", "word<|endoftext|>.\t <|endoftext|><|endof", "text|> <|endof", "text|>"]
@@ -48,6 +51,17 @@ def test_packing_round_trip(spark):
     checked([(r.doc_id, r.text) for r in docs.collect()], packing.pack(docs, tokenizer_file()).collect())
 
 
+def test_new_pieces_are_remembered_together():
+    """Pieces the cache has not seen cost few Python calls each; the ids are those of whole texts, past all its first sizes."""
+    r = random.Random(2)
+    texts = ["", *[" ".join("".join(r.choice("aeinrstéß") for _ in range(r.randint(3, 12))) for _ in range(500)) for _ in range(20)], "", "last"]
+    tok, calls = CachedTokenizer(tokenizer_file()), cProfile.Profile()
+    got = calls.runcall(tok.encode, texts)
+    want = [x.ids for x in Tokenizer.from_file(tokenizer_file()).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want == [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)]
+    assert len(tok.at) > 5000 and pstats.Stats(calls).total_calls < 4 * len(tok.at)
+
+
 def test_packing_awkward_rows(spark):
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(AWKWARD_TEXTS)], "doc_id bigint, text string")
     docs = awkward(spark).unionByName(extra, allowMissingColumns=True)

@@ -10,6 +10,7 @@ the time; each distinct piece is encoded once per worker and looked up by its
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,21 +52,25 @@ class CachedTokenizer:
         self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
+    def _encoded(self, pieces: list[bytes]) -> list:
+        return self.tok.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+
     def _raw(self, pieces: list[bytes]) -> list[np.ndarray]:
-        found = self.tok.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in found]
+        return [np.array(e.ids, dtype=np.uint32) for e in self._encoded(pieces)]
 
     def _remember(self, keys: list[int], pieces: list[bytes]) -> None:
-        for key, ids in zip(keys, self._raw(pieces)):
-            row = len(self.at)
-            if row == len(self.begin):
-                self.begin, self.count = np.resize(self.begin, 2 * row), np.resize(self.count, 2 * row)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.begin[row], self.count[row] = self.used, len(ids)
-            self.at[key] = row
-            self.used += len(ids)
+        found = [e.ids for e in self._encoded(pieces)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        to = self.used + np.cumsum(counts)
+        row, rows, used = len(self.at), len(self.at) + len(found), int(to[-1]) if found else self.used
+        while rows > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
+        while used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used: used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+        self.begin[row: rows], self.count[row: rows] = to - counts, counts
+        self.at.update(zip(keys, range(row, rows)))
+        self.used = used
 
     @staticmethod
     def cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -102,20 +107,22 @@ class CachedTokenizer:
         if not buffer:
             return [b""] * len(texts)
         data = np.frombuffer(buffer, dtype=np.uint8)
-        starts = np.unique(np.concatenate([[0], self.without_special(buffer, self.cuts(data, ends[:-1])), ends[:-1]]))
-        starts = starts[starts < len(data)]
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[0] = begins[ends] = begins[self.without_special(buffer, self.cuts(data, ends[:-1]))] = True
+        starts = np.flatnonzero(begins[:-1])
         stops = np.append(starts[1:], len(data))
         long = np.flatnonzero(stops - starts > LONGEST)
         keys = self.hash(data, starts, stops)
         keys[long] = 0  # any one value; their rows are not used
         coded = pa.array(keys).dictionary_encode()
-        inverse, listed = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        inverse, listed = np.asarray(coded.indices), np.asarray(coded.dictionary).tolist()
         where = np.empty(len(listed), np.int64)
         where[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)  # first place of each
         if len(self.at) > CACHE_PIECES:
             self._clear()
-        missing = [k for k, key in enumerate(listed) if key not in self.at]
-        self._remember([listed[k] for k in missing], [buffer[starts[where[k]]: stops[where[k]]] for k in missing])
+        missing = np.array([k for k, key in enumerate(listed) if key not in self.at], np.int64)
+        new = where[missing]
+        self._remember([listed[k] for k in missing.tolist()], [buffer[lo:hi] for lo, hi in zip(starts[new].tolist(), stops[new].tolist())])
         rows = np.fromiter(map(self.at.__getitem__, listed), np.int64, len(listed))[inverse]
         begin, count = self.begin[rows], self.count[rows]
         apart = self._raw([buffer[starts[k]: stops[k]] for k in long.tolist()])
