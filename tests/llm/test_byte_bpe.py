@@ -1,6 +1,7 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -64,6 +65,17 @@ def test_heap_equals_the_fold(spark):
     assert [list(r.ids) for r in got] == [byte_bpe.merge_long(RANKS, bytes(r.w)) for r in got]
 
 
+def test_words_merged_together_equal_the_heap():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("theinaro é漢") for _ in range(rnd.randint(0, 60))).encode() for _ in range(3000)]
+    words += [b"", b"a" * 512, bytes(range(256)), *list(RANKS)[:4000:3], b""]
+    table = byte_bpe.PairTable(RANKS)
+    for some in (words, words[:1], [b""], []):
+        sizes = np.array([len(w) for w in some], np.int64)
+        begin, size, ids = byte_bpe.merge_words(table, np.frombuffer(b"".join(some), np.uint8).astype(np.int16), sizes)
+        assert [ids[b:b + n].tolist() for b, n in zip(begin, size)] == [byte_bpe.merge_long(RANKS, w) for w in some]
+
+
 def test_pieces_that_no_merge_reaches(spark, tmp_path):
     """A rank file whose piece ``abc`` has neither ``ab`` nor ``bc``: the word is that piece, inside others it is not made."""
     import base64

@@ -1,16 +1,17 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words, by Spark's higher-order functions.
+"""Byte-level BPE: ranked merges over the bytes of a task's distinct words, all words of a batch at once.
 
 A pattern cuts every text into words on the JVM. A task numbers its distinct
-words; each is encoded once there: a fold over the word's array of bytes merges the
+words; each is encoded once there: every round merges in each word the
 adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The
-ranks are one literal: a perfect hash of all pairs of pieces that make a piece,
+ranks are a perfect hash of all pairs of pieces that make a piece,
 so a lookup reads one slot. Pieces that no merges lead to are taken from a list of
 their own. The documents' word numbers are then replaced by ids. Nothing is shuffled and no state outlives a task; a
 task forgets its words when they pass ``MOST_WORDS`` or ``MOST_BYTES`` and goes on.
 
-The fold copies a word's pieces at every merge, which is quadratic in the length
+A round moves all pieces of the words that are left, which is quadratic in the length
 of one word. Words over ``LONG`` bytes are therefore merged by the same rule with
-a heap inside the task, which gives the same ids.
+a heap inside the task, which gives the same ids. ``encoded_word`` states the merges
+once more as a column expression, for words that a table holds as arrays of bytes.
 
 Decoding joins the pieces of the ids, held as hexadecimal digits, and turns the
 whole into bytes, in time linear in the text.
@@ -102,6 +103,54 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(text), "struct<bytes:array<bigint>,slots:array<bigint>,moves:array<bigint>>")
 
 
+class PairTable:
+    """The ranks as arrays: ids of the bytes, slots and displacements of the pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        slots, moves = pair_slots(ranks)
+        self.bytes, self.slots, self.moves = (np.array(x, np.int64) for x in (byte_ids(ranks), slots, moves))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; ``NO_RANK`` or more where they make no piece."""
+        pair = left << 16 | right
+        return (self.slots[(_home(pair) + self.moves[pair % GROUPS]) % SLOTS] - (pair << 16)) & ((1 << 63) - 1)
+
+
+def merge_words(table: PairTable, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size, ids) of words given as their bytes one after another: word w has ``ids[begin[w]: begin[w] + size[w]]``.
+
+    A round makes one merge in every word that has one; words without leave the arrays.
+    """
+    begin, size = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    word = np.flatnonzero(sizes)
+    n = sizes[word]
+    ids = table.bytes[data]
+    ranks = np.full(len(ids), NO_RANK, np.int64)  # of the pair that a piece opens
+    ranks[:-1] = np.minimum(table.rank(ids[:-1], ids[1:]), NO_RANK)
+    ranks[np.cumsum(n) - 1] = NO_RANK
+    out, used = [np.zeros(0, np.int64)], 0
+    while len(word):
+        stop = np.cumsum(n)
+        start = stop - n
+        low = np.minimum.reduceat(ranks << 32 | np.arange(len(ranks)), start)
+        more = low < NO_RANK << 32
+        kept = np.repeat(more, n)
+        out.append(ids[~kept])
+        size[word[~more]] = n[~more]
+        begin[word[~more]] = used + np.cumsum(n[~more]) - n[~more]
+        used += len(out[-1])
+        low, start, stop = low[more], start[more], stop[more]
+        at = low & ((1 << 32) - 1)
+        ids[at] = low >> 32
+        ranks[at] = NO_RANK
+        left = np.concatenate([at[at + 2 < stop], at[at > start] - 1])  # its pieces after and before have a new neighbour
+        right = np.concatenate([at[at + 2 < stop] + 2, at[at > start]])
+        ranks[left] = np.minimum(table.rank(ids[left], ids[right]), NO_RANK)
+        kept[at + 1] = False
+        ids, ranks, word, n = ids[kept], ranks[kept], word[more], n[more] - 1
+    return begin, size, np.concatenate(out)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -217,10 +266,8 @@ def _numbered(apart: dict[bytes, int]):
     return run
 
 
-NUMBERED = "ids array<bigint>, counts array<int>, codes binary, restart boolean, new array<array<smallint>>, odd array<int>, aside array<binary>"
-
-
-def _gathered(rank_file: str, apart: dict[bytes, int]):
+def _gathered(table, rank_file: str, apart: dict[bytes, int]):
+    """Ids of every document, from the rows of ``_numbered``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
         begin = size = flat = np.zeros(0, np.int64)
@@ -229,10 +276,9 @@ def _gathered(rank_file: str, apart: dict[bytes, int]):
                 b = batch.slice(r, 1)
                 if b.column("restart")[0].as_py():
                     begin = size = flat = np.zeros(0, np.int64)
-                new = b.column("new_ids").flatten()
-                sizes = np.diff(np.asarray(new.offsets)).astype(np.int64)
-                found = np.asarray(new.flatten()).astype(np.int64)
-                starts = len(flat) + np.cumsum(sizes) - sizes
+                new = b.column("new").flatten()
+                starts, sizes, found = merge_words(table.value, np.asarray(new.flatten()), np.diff(np.asarray(new.offsets)).astype(np.int64))
+                starts += len(flat)
                 for k, w in zip(b.column("odd")[0].as_py(), b.column("aside")[0].as_py()):
                     ranks = ranks or read_ranks(rank_file)
                     own = [apart[w]] if w in apart else merge_long(ranks, w)
@@ -272,10 +318,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
     ranks = read_ranks(rank_file)
     apart = unreached(ranks)
-    folded = words.mapInArrow(_numbered(apart), NUMBERED).select(
-        "ids", "counts", "codes", "restart", "odd", "aside",
-        _let(rank_literal(ranks), lambda t: F.transform("new", lambda w: encoded_word(t, w))).alias("new_ids"))
-    return folded.mapInArrow(_gathered(rank_file, apart), "id bigint, ids array<int>").withColumnRenamed("id", id_col)
+    table = docs.sparkSession.sparkContext.broadcast(PairTable(ranks))
+    number, gather = _numbered(apart), _gathered(table, rank_file, apart)
+    return words.mapInArrow(lambda batches: gather(number(batches)), "id bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
