@@ -8,16 +8,19 @@ rarest first: partners share an offered shingle. "Rare" means the order of a
 fixed-size counter table over a sixteenth of the lines, which decides the order of
 the search only, not its result.
 
- 1. every line of a bucket (the lines that offer a shingle) is compared with one
-    line of it, another one in each bucket; links make groups;
- 2. in buckets with lines of several groups, all lines of different groups are
+ 1. every bucket (the lines that offer a shingle) has a centre, another line in each
+    bucket; every line is compared with the smallest one of its centres, links make groups;
+ 2. the other centres of a line are compared if they are of another group by then, so
+    a line of a large group of near copies is compared about once;
+ 3. in buckets with lines of several groups, all lines of different groups are
     compared, so a bucket of near copies is not expanded into its pairs;
- 3. exact similarity confirms, distributed union-find joins the links, and of each
+ 4. exact similarity confirms, distributed union-find joins the links, and of each
     component the first line by (id, place) stays in the corpus.
 
 Lines are compared without case and outer blanks. Lines under 16 characters are
-left alone. Copies of a line are counted before anything is shuffled, so a line
-that holds a third of all rows is one row in the search.
+left alone. Copies are counted before anything is shuffled, and a line of many
+copies offers its shingles once, so a line that holds a third of all rows is one row
+in the search. All steps are column expressions, windows and joins.
 
 Defined results
   * null text stays null, empty stays empty; a text whose lines all went is empty.
@@ -29,22 +32,18 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import bounded_arrow, summed_table, table_rows
 from weekloom.llm.components import connected
 from weekloom.runtime import stored
 
 SHINGLE = 16
-COUNTERS = 1 << 20
-SLOTS = 8  # pieces of the counter table
+COUNTERS = 1 << 17
+PAGE = 1 << 10  # counters in one row of the table as it is collected
 COUNTED = 16  # one line in so many is counted
-SEEN = 1 << 20  # lines a task remembers, so that copies offer their shingles once
+LEVELS = 63  # of rarity: three times the logarithm of a counter
+MANY = 64  # lines of so many copies offer their shingles once
 LIGHT_ROWS = 1_000_000
 
 # A match starts at a place, keeps the shingle and runs on to the next place, so nothing is searched between matches.
@@ -76,126 +75,85 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "line", F.xxhash64("plain"))
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of every element of the lists ``s``."""
-    lists = b.column("s")
-    return np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten()).view(np.uint64)
-
-
-def _slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    waiting: list[np.ndarray] = []
-    for b in batches:
-        waiting.append(_slots(_flat(b)[1]))
-        if sum(map(len, waiting)) >= COUNTERS:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-            waiting = []
-    if waiting:
-        counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-    yield table_rows(counts, SLOTS)
-
-
-def _offered(counters):
-    """(shingle, line, place) of the shingles a set of n offers; ``place`` is n and the place in the set's order in one number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
-        seen: set[int] = set()
-        for b in batches:
-            if len(seen) >= SEEN:
-                seen.clear()
-            lines = b.column("line").to_pylist()
-            first = []
-            for i, line in enumerate(lines):
-                if line not in seen:
-                    seen.add(line)
-                    first.append(i)
-            b = b.take(pa.array(first, pa.int64()))
-            row, s = _flat(b)
-            key = row << 32 | table[_slots(s)]
-            order = np.lexsort((s, key))
-            row, s = row[order], s[order]
-            new = np.ones(len(s), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1])
-            row, s = row[new], s[new]
-            n = np.bincount(row, minlength=b.num_rows)
-            at = np.arange(len(s)) - (np.cumsum(n) - n)[row]
-            n = n[row]
-            kept = at < n + -4 * n // 5 + 1  # n - ceil(0.8 n) + 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array(s[kept].view(np.int64)), pa.array(np.asarray(b.column("line"))[row[kept]]), pa.array((n << 32 | at)[kept])], names=["shingle", "line", "place"])
-
-    return run
-
-
-def _fits(n_a, at_a, n_b, at_b):
+def _slot(shingle: Column) -> Column:
+    return shingle.bitwiseAND(F.lit(COUNTERS - 1).cast("long"))
+
+
+def _rarity(occurrences: DataFrame) -> bytes:
+    """One level for each counter, as a character from 1 on: how often shingles of this slot occur in the counted lines."""
+    spark = occurrences.sparkSession
+    some = occurrences.filter(F.pmod("line", F.lit(COUNTED)) == 0).select(F.explode(_hashes(F.col("plain"))).alias("s"))
+    counts = some.groupBy(_slot(F.col("s")).alias("id")).count()
+    level = F.least(F.round(3 * F.log1p(F.coalesce("count", F.lit(0)))), F.lit(LEVELS - 1.0)).cast("int")
+    levels = spark.range(COUNTERS).join(counts, "id", "left").select("id", F.char(level + 1).alias("c"))
+    pages = levels.groupBy(F.floor(F.col("id") / PAGE).alias("page")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "c"))), lambda x: x.c), "").alias("levels"))
+    return "".join(r.levels for r in sorted(pages.collect())).encode()
+
+
+def _keys(plain: Column, rarity: bytes) -> Column:
+    """The shingles of a line in the order of the search, the rarest first: level and 57 bits of the hash in one number."""
+    table = F.lit(rarity)
+
+    def key(s: Column) -> Column:
+        level = F.ascii(F.substring(table, _slot(s).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(s, 7))
+
+    return F.sort_array(F.transform(shingle_numbers(plain), key))
+
+
+def _once(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, plain) of every line; one row of lines of many copies, whose rows are counted before they are shuffled."""
+    many = lines.filter(F.col("n") >= MANY).select("line")
+    many = _light(many, many.count())
+    texts = occurrences.select("line", "plain")
+    return texts.join(many, "line", "left_anti").union(texts.join(many, "line", "left_semi").distinct())
+
+
+def _fits(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
     """Whether two sets whose first shared shingle has these places can be similar: 0.8 is 9 |A and B| >= 4 (|A| + |B|)."""
-    return 9 * np.minimum(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)
+    return 9 * F.least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct postings of buckets with two lines or more, from rows sorted by (shingle, line); a bucket may span batches.
+def _buckets(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """(shingle, line, n, at, wide, centre, fits) of the offered shingles that two lines or more offer.
 
-    ``centre`` has the bucket's smallest number after the shingle is mixed in, so that a line
-    of many buckets meets a different one in each; ``fits`` tells whether the two can be similar.
+    A set of n offers floor(n / 5) + 1, as n - ceil(0.8 n) is floor(n / 5). ``at`` is the shingle's place in the
+    order, ``wide`` tells whether the bucket has a third line. ``centre`` has the bucket's smallest
+    number after the shingle is mixed in, so that a line of many buckets meets a different one in each;
+    ``fits`` tells whether the two can be similar.
     """
-    tail: list[np.ndarray] | None = None
-
-    def buckets(cols: list[np.ndarray]):
-        s, line, place = cols
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
-        s, line, place = s[new], line[new], place[new]
-        _, starts, inverse, held = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
-        held = held[inverse]
-        many = held > 1
-        mixed = line ^ s
-        low = np.minimum.reduceat(mixed, starts)[inverse]
-        at_centre = np.maximum.reduceat(np.where(mixed == low, place, -1), starts)[inverse]
-        n, at = place >> 32, place & 0xFFFFFFFF
-        fits = _fits(n, at, at_centre >> 32, at_centre & 0xFFFFFFFF) & (mixed != low)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[many]) for x in (s, line, n, at, held, low ^ s, fits)], names=["shingle", "line", "n", "at", "held", "centre", "fits"])
-
-    for b in batches:
-        cols = [np.asarray(b.column(c)) for c in ("shingle", "line", "place")]
-        if tail is not None:
-            cols = [np.concatenate([t, c]) for t, c in zip(tail, cols)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
-        if cut:
-            yield buckets([c[:cut] for c in cols])
-        tail = [c[cut:] for c in cols]
-    if tail is not None:
-        yield buckets(tail)
-
-
-def _buckets(occurrences: DataFrame) -> DataFrame:
-    """(shingle, line, n, at, held, centre, fits) of the offered shingles that two lines or more offer."""
-    spark = occurrences.sparkSession
-    bounded_arrow(spark)
-    hashed = lambda df: df.select("line", _hashes(F.col("plain")).alias("s"))
-    tables = hashed(occurrences.filter(F.pmod("line", F.lit(COUNTED)) == 0)).mapInArrow(_counted, "slot int, salt int, counts binary")
-    counters = spark.sparkContext.broadcast(summed_table(tables, COUNTERS, SLOTS))
-    offered = hashed(occurrences).mapInArrow(_offered(counters), "shingle bigint, line bigint, place bigint")
-    return offered.repartition("shingle").sortWithinPartitions("shingle", "line").mapInArrow(
-        _shared, "shingle bigint, line bigint, n bigint, at bigint, held bigint, centre bigint, fits boolean")
+    keys = _once(occurrences, lines).select("line", _keys(F.col("plain"), _rarity(occurrences)).alias("keys"))
+    sized = keys.select("line", F.size("keys").cast("long").alias("n"), F.slice("keys", 1, F.floor(F.size("keys") / 5).cast("int") + 1).alias("keys"))
+    # Every line has keys. The outer form keeps Spark from filtering by the keys first, which would compute them twice.
+    offered = sized.select("line", "n", F.posexplode_outer("keys").alias("at", "shingle")).select(
+        "shingle", "line", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    bucket = Window.partitionBy("shingle")
+    shared = offered.select("*", F.min("line").over(bucket).alias("low"), F.max("line").over(bucket).alias("high")).filter("low <> high")
+    before = F.lag("line").over(bucket.orderBy("line"))
+    shared = shared.withColumn("before", before).filter("before IS NULL OR before <> line")
+    turned = F.shiftleft("shingle", 7)  # without the level
+    met = shared.select(
+        "shingle", "line", "place", F.max((F.col("line") != F.col("low")) & (F.col("line") != F.col("high"))).over(bucket).alias("wide"),
+        F.min(F.struct(F.col("line").bitwiseXOR(turned).alias("mixed"), "place")).over(bucket).alias("c"))
+    n, at = (lambda p: F.shiftright(p, 32)), (lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)))
+    own, other = F.col("place"), F.col("c.place")
+    centre = F.col("c.mixed").bitwiseXOR(turned)
+    return met.select(
+        "shingle", "line", n(own).alias("n"), at(own).alias("at"), "wide", centre.alias("centre"),
+        ((F.col("line") != centre) & _fits(n(own), at(own), n(other), at(other))).alias("fits"))
 
 
 def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct (a, b) of lines of one bucket and different groups whose sizes and places allow the similarity."""
     of = roots.withColumnRenamed("id", "line")
-    grouped = stored(shared.filter("held > 2").select("shingle", "line", "n", "at").join(of, "line", "left").withColumn(
+    grouped = stored(shared.filter("wide").select("shingle", "line", "n", "at").join(of, "line", "left").withColumn(
         "root", F.coalesce("root", "line")), "line-groups")
     several = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
     rows = stored(grouped.join(several, "shingle", "left_semi"), "line-rest")
     a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("line", "n", "at", "root")]) for side in "ab")
-    met = a.join(b, "shingle").filter("root_a < root_b AND 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")  # as _fits
+    met = a.join(b, "shingle").filter(
+        (F.col("root_a") < F.col("root_b")) & _fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
     return met.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
 
 
@@ -207,18 +165,26 @@ def _light(df: DataFrame, rows: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more; the texts are moved, as they are shorter than the sets."""
     wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line-ids")
-    some = occurrences.select("line", "plain").join(_light(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.min("plain").alias("plain"))
-    texts = stored(some, "line-texts")
+    texts = occurrences.select("line", "plain").join(_light(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.min("plain").alias("plain"))  # both joins read one exchange
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("plain").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("plain").alias("tb")), "b")
     sets = F.array(F.struct(shingle_numbers(F.col("ta")).alias("a"), shingle_numbers(F.col("tb")).alias("b")))  # evaluated once
     return both.filter(F.exists(sets, lambda s: 9 * F.size(F.array_intersect(s.a, s.b)) >= 4 * (F.size(s.a) + F.size(s.b)))).select("a", "b")
 
 
-def line_links(occurrences: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are of different groups."""
+    a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def line_links(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b) of links with the components of all pairs of lines whose shingle sets have a similarity of 0.8 or more."""
-    shared = stored(_buckets(occurrences), "shared")
+    shared = stored(_buckets(occurrences, lines), "shared")
     near = stored(shared.filter("fits").select(F.col("centre").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
-    links = stored(_confirmed(near, occurrences), "centre-links")
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(_confirmed(first, occurrences), "first-links")
+    others = stored(_apart(near.join(first, ["a", "b"], "left_anti"), connected(links, "a", "b")), "other-pairs")
+    links = stored(links.union(_confirmed(others, occurrences)), "centre-links")
     across = stored(_across(shared, connected(links, "a", "b")), "pairs-across")
     return links if across.isEmpty() else links.union(_confirmed(across, occurrences))
 
@@ -226,11 +192,10 @@ def line_links(occurrences: DataFrame) -> DataFrame:
 def removed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, removed): sorted places of the lines that go, for documents that lose any."""
     occurrences = stored(_occurrences(docs, id_col, text_col), "occurrences")
-    roots = connected(stored(line_links(occurrences), "line-links"), "a", "b")
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "place")
-    lines = occurrences.groupBy("line").agg(F.count("*").alias("n"), F.min(here).alias("first"))
+    lines = stored(occurrences.groupBy("line").agg(F.count("*").alias("n"), F.min(here).alias("first")), "line-counts")
+    roots = connected(stored(line_links(occurrences, lines), "line-links"), "a", "b")
     rooted = lines.join(roots.withColumnRenamed("id", "line"), "line", "left").select("line", "n", "first", F.coalesce("root", "line").alias("root"))
-    rooted = stored(rooted, "lines")
     stay = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("stays")).filter("n > 1").select("root", "stays")
     many = stored(rooted.select("line", "root").join(stay, "root").select(F.col("line").alias("again"), "stays"), "lines-again")
     gone = occurrences.join(_light(many, many.count()), F.col("line") == F.col("again")).filter(~here.eqNullSafe(F.col("stays")))
