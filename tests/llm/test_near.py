@@ -131,6 +131,22 @@ def test_line_dedup_of_a_common_frame(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_that_share_a_rare_phrase_only_are_never_listed_as_pairs(spark):
+    """The pairs written for buckets of many groups follow the links, not the square of the bucket."""
+    from weekloom.llm import line_dedup
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5000)]
+    rows = [(i, "a phrase that all of them have " + " ".join(r.choice(words) for _ in range(60))) for i in range(60)]
+    rows += [(60 + i, t[:-1] + "!") for i, (_, t) in enumerate(rows[:5])]
+    texts = [(line, t) for line, (_, t) in enumerate(rows)]
+    sizes = {line: len(set(re.findall(rf"(?s)(?<![a-z])(?=(.{{{SHINGLE}}}))", t)) | {t[-SHINGLE:]}) for line, t in texts}
+    shared = spark.createDataFrame([(1, line, n, 0, True) for line, n in sizes.items()], "shingle bigint, line bigint, n bigint, at bigint, wide boolean")
+    none = spark.createDataFrame([], "id bigint, root bigint")
+    got = {(x.a, x.b) for x in line_dedup._across(shared, none, spark.createDataFrame(texts, "line bigint, plain string")).collect()}
+    assert got == {(i, 60 + i) for i in range(5)}
+
+
 def test_line_dedup_awkward_rows(spark):
     got = dedup_lines(awkward(spark)).collect()
     assert len(got) == len(TEXTS)

@@ -13,7 +13,9 @@ the search only, not its result.
  2. the other centres of a line are compared if they are of another group by then, so
     a line of a large group of near copies is compared about once;
  3. in buckets with lines of several groups, all lines of different groups are
-    compared, so a bucket of near copies is not expanded into its pairs;
+    compared, so a bucket of near copies is not expanded into its pairs. A line brings
+    the parities of its shingles in 512 cells: sets that differ in d shingles differ
+    in d cells at most, so pairs that cannot link are never written;
  4. exact similarity confirms, distributed union-find joins the links, and of each
     component the first line by (id, place) stays in the corpus.
 
@@ -44,6 +46,7 @@ PAGE = 1 << 10  # counters in one row of the table as it is collected
 COUNTED = 16  # one line in so many is counted
 LEVELS = 63  # of rarity: three times the logarithm of a counter
 MANY = 64  # lines of so many copies offer their shingles once
+WORDS = 8  # of 64 cells, in the parities of a line
 LIGHT_ROWS = 1_000_000
 
 # A match starts at a place, keeps the shingle and runs on to the next place, so nothing is searched between matches.
@@ -75,39 +78,41 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "line", F.xxhash64("plain"))
 
 
+def _here() -> Column:
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "place")
+
+
 def _slot(shingle: Column) -> Column:
     return shingle.bitwiseAND(F.lit(COUNTERS - 1).cast("long"))
 
 
-def _rarity(occurrences: DataFrame) -> bytes:
-    """One level for each counter, as a character from 1 on: how often shingles of this slot occur in the counted lines."""
+def _rarity(occurrences: DataFrame) -> str:
+    """One level from 1 on for each counter, separated by commas: how often shingles of this slot occur in the counted lines."""
     spark = occurrences.sparkSession
     some = occurrences.filter(F.pmod("line", F.lit(COUNTED)) == 0).select(F.explode(_hashes(F.col("plain"))).alias("s"))
     counts = some.groupBy(_slot(F.col("s")).alias("id")).count()
     level = F.least(F.round(3 * F.log1p(F.coalesce("count", F.lit(0)))), F.lit(LEVELS - 1.0)).cast("int")
-    levels = spark.range(COUNTERS).join(counts, "id", "left").select("id", F.char(level + 1).alias("c"))
+    levels = spark.range(COUNTERS).join(counts, "id", "left").select("id", (level + 1).cast("string").alias("c"))
     pages = levels.groupBy(F.floor(F.col("id") / PAGE).alias("page")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "c"))), lambda x: x.c), "").alias("levels"))
-    return "".join(r.levels for r in sorted(pages.collect())).encode()
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "c"))), lambda x: x.c), ",").alias("levels"))
+    return ",".join(r.levels for r in sorted(pages.collect()))
 
 
-def _keys(plain: Column, rarity: bytes) -> Column:
+def _keys(plain: Column, rarity: str) -> Column:
     """The shingles of a line in the order of the search, the rarest first: level and 57 bits of the hash in one number."""
-    table = F.lit(rarity)
+    table = F.split(F.lit(rarity), ",").cast("array<tinyint>")  # a constant
 
     def key(s: Column) -> Column:
-        level = F.ascii(F.substring(table, _slot(s).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(s, 7))
+        return F.shiftleft(F.get(table, _slot(s).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(s, 7))
 
     return F.sort_array(F.transform(shingle_numbers(plain), key))
 
 
 def _once(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, plain) of every line; one row of lines of many copies, whose rows are counted before they are shuffled."""
-    many = lines.filter(F.col("n") >= MANY).select("line")
-    many = _light(many, many.count())
-    texts = occurrences.select("line", "plain")
-    return texts.join(many, "line", "left_anti").union(texts.join(many, "line", "left_semi").distinct())
+    """(line, plain) of every line; only the first row of lines of many copies."""
+    many = lines.filter(F.col("n") >= MANY).select("line", "first")
+    met = occurrences.join(_light(many, many.count()), "line", "left")
+    return met.filter(F.col("first").isNull() | _here().eqNullSafe(F.col("first"))).select("line", "plain")
 
 
 def _fits(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
@@ -144,16 +149,36 @@ def _buckets(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
         ((F.col("line") != centre) & _fits(n(own), at(own), n(other), at(other))).alias("fits"))
 
 
-def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct (a, b) of lines of one bucket and different groups whose sizes and places allow the similarity."""
+def _texts(wanted: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(line, plain) of the wanted lines, one row each."""
+    return occurrences.select("line", "plain").join(_light(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.min("plain").alias("plain"))
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(line, p0, p1, ...): a bit is set if an odd number of the line's shingles falls into its cell."""
+    cells = texts.select("line", F.explode(shingle_numbers(F.col("plain"))).alias("s"))
+    word, bit = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(s & 63 AS int))")
+    return cells.groupBy("line").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"p{k}") for k in range(WORDS)])
+
+
+def _close() -> Column:
+    """Whether the parities of a and b allow the similarity: sets of 0.8 differ in a ninth of |A| + |B| shingles at most."""
+    apart = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(WORDS)), F.lit(0))
+    return 9 * apart <= F.col("n_a") + F.col("n_b")
+
+
+def _across(shared: DataFrame, roots: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Distinct (a, b) of lines of one bucket and different groups whose sizes, places and parities allow the similarity."""
     of = roots.withColumnRenamed("id", "line")
     grouped = stored(shared.filter("wide").select("shingle", "line", "n", "at").join(of, "line", "left").withColumn(
         "root", F.coalesce("root", "line")), "line-groups")
     several = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
     rows = stored(grouped.join(several, "shingle", "left_semi"), "line-rest")
-    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("line", "n", "at", "root")]) for side in "ab")
+    parities = _parities(_texts(stored(rows.select("line").distinct(), "rest-ids"), occurrences))
+    marked = rows.join(parities, "line")
+    a, b = (marked.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in marked.columns if c != "shingle"]) for side in "ab")
     met = a.join(b, "shingle").filter(
-        (F.col("root_a") < F.col("root_b")) & _fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+        (F.col("root_a") < F.col("root_b")) & _fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & _close())
     return met.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
 
 
@@ -165,7 +190,7 @@ def _light(df: DataFrame, rows: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more; the texts are moved, as they are shorter than the sets."""
     wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line-ids")
-    texts = occurrences.select("line", "plain").join(_light(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.min("plain").alias("plain"))  # both joins read one exchange
+    texts = _texts(wanted, occurrences)  # both joins read one exchange
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("plain").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("plain").alias("tb")), "b")
     sets = F.array(F.struct(shingle_numbers(F.col("ta")).alias("a"), shingle_numbers(F.col("tb")).alias("b")))  # evaluated once
     return both.filter(F.exists(sets, lambda s: 9 * F.size(F.array_intersect(s.a, s.b)) >= 4 * (F.size(s.a) + F.size(s.b)))).select("a", "b")
@@ -185,20 +210,19 @@ def line_links(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
     links = stored(_confirmed(first, occurrences), "first-links")
     others = stored(_apart(near.join(first, ["a", "b"], "left_anti"), connected(links, "a", "b")), "other-pairs")
     links = stored(links.union(_confirmed(others, occurrences)), "centre-links")
-    across = stored(_across(shared, connected(links, "a", "b")), "pairs-across")
+    across = stored(_across(shared, connected(links, "a", "b"), occurrences), "pairs-across")
     return links if across.isEmpty() else links.union(_confirmed(across, occurrences))
 
 
 def removed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, removed): sorted places of the lines that go, for documents that lose any."""
     occurrences = stored(_occurrences(docs, id_col, text_col), "occurrences")
-    here = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "place")
-    lines = stored(occurrences.groupBy("line").agg(F.count("*").alias("n"), F.min(here).alias("first")), "line-counts")
+    lines = stored(occurrences.groupBy("line").agg(F.count("*").alias("n"), F.min(_here()).alias("first")), "line-counts")
     roots = connected(stored(line_links(occurrences, lines), "line-links"), "a", "b")
     rooted = lines.join(roots.withColumnRenamed("id", "line"), "line", "left").select("line", "n", "first", F.coalesce("root", "line").alias("root"))
     stay = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("stays")).filter("n > 1").select("root", "stays")
     many = stored(rooted.select("line", "root").join(stay, "root").select(F.col("line").alias("again"), "stays"), "lines-again")
-    gone = occurrences.join(_light(many, many.count()), F.col("line") == F.col("again")).filter(~here.eqNullSafe(F.col("stays")))
+    gone = occurrences.join(_light(many, many.count()), F.col("line") == F.col("again")).filter(~_here().eqNullSafe(F.col("stays")))
     return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("removed"))
 
 
